@@ -49,11 +49,19 @@ def stripped(lines: DataFrame) -> DataFrame:
 
 
 def events_of(df: DataFrame, **columns: Column) -> DataFrame:
-    """Event rows from named columns; text that is missing stays empty."""
-    df = df.select("event_id", "source", *[c.alias(n) for n, c in columns.items()])
+    """Event rows from named columns; text that is missing stays empty.
+
+    The columns are produced by a generator of one row.  A filter on an event
+    column is then evaluated on the finished value: the optimiser cannot copy
+    the parsing expressions into it, which would parse a line once per mention
+    of a column.
+    """
+    types = {f.name: f.dataType for f in EVENTS.fields}
+    columns = {n: c.cast(types[n]).alias(n) for n, c in columns.items()}
     for name in ("host", "process"):
-        if name not in columns:
-            df = df.withColumn(name, F.lit(""))
-    if "metadata" not in columns:
-        df = df.withColumn("metadata", F.create_map().cast("map<string,string>"))
+        columns.setdefault(name, F.lit("").alias(name))
+    columns.setdefault(
+        "metadata", F.create_map().cast(types["metadata"]).alias("metadata")
+    )
+    df = df.select("event_id", "source", F.inline(F.array(F.struct(*columns.values()))))
     return conform(df, EVENTS)

@@ -20,51 +20,42 @@ def _literal_of(pattern: str) -> str:
     return max(plain.split("\0"), key=len).lower()
 
 
-def rule_number(process: Column, message: Column) -> Column:
-    """1-based number of the first classification rule a message meets, 0 for
-    none."""
-    lowered = F.lower(message)
-    number = None
-    for i, (only, pattern, _, _) in enumerate(fixed.SYSLOG_RULES, 1):
-        meets = F.contains(lowered, F.lit(_literal_of(pattern)))
+def _by_rule(process: Column, message: Column, lowered: Column) -> Column:
+    """What the first rule that a message meets says about it, as a struct."""
+    nothing = F.lit(None).cast("string")
+
+    def says(kind, severity, user, second):
+        return F.struct(
+            F.lit(kind).alias("event_type"), F.lit(severity).alias("severity"),
+            user.alias("user"), second.alias("second"),
+        )
+
+    chain = F
+    for only, pattern, kind, severity in fixed.SYSLOG_RULES:
+        regex = rx(pattern, ignore_case=True)
+        meets = F.contains(lowered, F.lit(_literal_of(pattern))) & message.rlike(regex)
         if only is not None:
             meets = (F.lower(process) == only) & meets
-        meets = meets & message.rlike(rx(pattern, ignore_case=True))
-        number = F.when(meets, i) if number is None else number.when(meets, i)
-    return number.otherwise(0)
-
-
-def _by_rule(pick) -> Column:
-    chain = None
-    for i, rule in enumerate(fixed.SYSLOG_RULES, 1):
-        value = pick(rule)
-        if value is None:
-            continue
-        hit = F.col("rule_no") == i
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain
-
-
-def classified(df: DataFrame, process: str = "process", message: str = "message") -> DataFrame:
-    """Set event_type, severity, user and ip from the message by the rules;
-    needs columns `process` and `message`."""
-    df = df.withColumn("rule_no", rule_number(F.col(process), F.col(message)))
-    text = F.col(message)
-
-    def group(rule, n):
-        if re.compile(rule[1]).groups < n:
-            return None
-        return F.regexp_extract(text, rx(rule[1], ignore_case=True), n)
-
-    second = _by_rule(lambda r: group(r, 2))
+        groups = [F.regexp_extract(message, regex, n + 1) if n < re.compile(pattern).groups
+                  else nothing for n in range(2)]
+        chain = chain.when(meets, says(kind, severity, *groups))
+    return chain.otherwise(says("generic", "UNKNOWN", nothing, nothing))
+
+
+def classified(df: DataFrame) -> DataFrame:
+    """Set event_type, severity, user and ip from the columns `process` and
+    `message` by the classification rules, first match wins."""
+    kept = [c for c in df.columns if c not in ("event_type", "severity", "user", "ip")]
+    hit = _by_rule(F.col("process"), F.col("message"), F.col("lowered"))
+    # a generator of one row, as in events_of: each rule is stated once
+    df = df.select(*kept, F.lower("message").alias("lowered")).select(
+        *kept, F.inline(F.array(hit))
+    )
+    second = F.col("second")
     return df.select(
-        *[c for c in df.columns if c not in ("event_type", "severity", "user", "ip", "rule_no")],
-        F.coalesce(_by_rule(lambda r: F.lit(r[2])), F.lit("generic")).alias("event_type"),
-        F.coalesce(_by_rule(lambda r: F.lit(r[3])), F.lit("UNKNOWN")).alias("severity"),
-        _by_rule(lambda r: group(r, 1)).alias("user"),
-        second.alias("second"),
-    ).withColumn("ip", F.when(F.col("second").rlike(rx(fixed.DOTTED_QUAD)), F.col("second"))
-    ).drop("second")
+        *kept, "event_type", "severity", "user",
+        F.when(second.rlike(rx(fixed.DOTTED_QUAD)), second).alias("ip"),
+    )
 
 
 def line_time(line: Column, year: Column) -> Column:
