@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from palisade import fixed_values as fixed
 from palisade.operators.asof import earliest_in_window
 from palisade.operators.detection import CORRELATED_RANK, Detection
-from palisade.operators.summary import members
+from palisade.operators.summary import finding_members
 from palisade.params import Params
 from palisade.plans.storage import stored
 from palisade.schema import EVIDENCE, FINDINGS, conform, micros
@@ -142,24 +142,6 @@ def _pool(findings: DataFrame) -> DataFrame:
     ))
 
 
-def _members(found: Detection, findings: DataFrame) -> DataFrame:
-    """finding_id, kind, value of all members.  The finding row itself holds
-    them unless there are more than it keeps; only then is the evidence read."""
-    def listed(kind, names):
-        return F.transform(names, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-
-    more = (F.col("n_source_ips") > F.size("source_ips")) | (F.col("n_users") > F.size("users"))
-    out = findings.filter(~more).select("finding_id", F.inline(F.concat(
-        listed("ip", F.col("source_ips")), listed("user", F.col("users"))
-    )))
-    large = findings.filter(more).select("finding_id")
-    if large.isEmpty():
-        return out
-    return out.unionByName(
-        members(found.evidence.join(large, "finding_id", "left_semi"))
-    )
-
-
 # ------------------------------------------------------------ set identity
 def _identity(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and two sums of hashes that identify a set of members."""
@@ -336,10 +318,11 @@ def _described(fired: DataFrame, findings: DataFrame, rules: Sequence[SequenceRu
             chain = chain.when(F.col("rule_id") == r.rule_id, F.lit(getattr(r, field)))
         return chain.otherwise(F.lit(None))
 
+    position = F.array_position(F.array(*[F.lit(r.rule_id) for r in rules]), F.col("rule_id"))
     rule_ids = F.transform("hits", lambda h: h["rule_id"])
     return conform(df.select(
         "finding_id", "rule_id", "first_seen", "last_seen", "event_count", "source_ips", "users",
-        F.lit(CORRELATED_RANK).alias("finding_rank"),
+        (F.lit(CORRELATED_RANK) + position).alias("finding_rank"),
         *[text(c).alias(c) for c in (
             "title", "severity", "confidence", "description", "recommendation")],
         F.col("n_ips").alias("n_source_ips"), F.col("n_names").alias("n_users"),
@@ -386,7 +369,7 @@ def correlate(
     The findings are stored first, as every rule reads them."""
     findings = stored(found.findings)
     pool = _pool(findings)
-    member_rows = _members(found, findings)
+    member_rows = finding_members(findings, found.evidence)
     length = params.slice_sec * SECOND
     parts: list[DataFrame] = []
     if mode == "reference":

@@ -14,7 +14,8 @@ RANKS = {
     "brute_force": 10, "password_spray": 20, "enumeration": 30,
     "priv_esc": 40, "auth_success": 50,
 }
-CORRELATED_RANK = 90
+# chains come last, in the order of their rules
+CORRELATED_RANK = 100
 OTHER_RANK = 80
 
 

@@ -35,6 +35,23 @@ def members(evidence: DataFrame, keys: list[str] = ["finding_id"]) -> DataFrame:
     )
 
 
+def finding_members(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """finding_id, kind, value of all members of stored findings.  A finding
+    row itself holds them unless there are more than it keeps; only for such
+    findings the evidence is read."""
+    def listed(kind: str, names: str) -> Column:
+        return F.transform(names, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    more = (F.col("n_source_ips") > F.size("source_ips")) | (F.col("n_users") > F.size("users"))
+    out = findings.filter(~more).select("finding_id", F.inline(F.concat(
+        listed("ip", F.col("source_ips")), listed("user", F.col("users"))
+    )))
+    large = findings.filter(more).select("finding_id")
+    if large.isEmpty():
+        return out
+    return out.unionByName(members(evidence.join(large, "finding_id", "left_semi")))
+
+
 def summarise(evidence: DataFrame, keys: list[str], kept: int) -> DataFrame:
     """Per finding: event_count, first_seen, last_seen, n_source_ips, n_users,
     n_named (events that name a user), has_root, and the first `kept` names of
