@@ -142,17 +142,22 @@ def followed_by_login(
 ) -> DataFrame:
     """Attacks (`ip, first_seen`) followed by a login (`ip, ts, user`) from the
     same address within the window; each address is reported once while the
-    watermark holds it."""
+    watermark holds it.  Equal attack rows count once, so give findings or
+    coarse times, not single failures."""
     a = attacks.select(F.col("ip").alias("attack_ip"), F.col("first_seen").alias("attack_time"))
     b = logins.select("ip", F.col("ts").alias("login_time"))
-    a = a.withWatermark("attack_time", delay)
+    a = a.withWatermark("attack_time", delay).dropDuplicates(["attack_ip", "attack_time"])
     b = b.withWatermark("login_time", delay)
     within = F.expr(
         "attack_ip = ip AND login_time >= attack_time "
         f"AND login_time <= attack_time + INTERVAL {int(window_sec)} SECONDS"
     )
+    # a stream may carry one event time only: the attack time becomes a value
     return (
-        a.join(b, within).withColumn("rule_id", F.lit("brute_then_success"))
+        a.join(b, within).select(
+            F.lit("brute_then_success").alias("rule_id"), "ip", "login_time",
+            F.timestamp_micros(F.unix_micros("attack_time")).alias("attack_time"),
+        )
         .dropDuplicatesWithinWatermark(["rule_id", "ip"])
         .select("rule_id", "ip", "attack_time", "login_time")
     )
