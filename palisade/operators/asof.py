@@ -16,25 +16,34 @@ from pyspark.sql import Window as W
 from palisade.operators.windows import slice_start
 
 
-def _with_lag(rows: DataFrame, keys: list[str], value: str, name: str, length: int) -> DataFrame:
-    """Add the value of the preceding row of the same key in the order of
-    `okey`.  The last row of earlier slices is added to each slice, so that no
-    task needs more than a slice of a key."""
+def with_lags(
+    rows: DataFrame, keys: list[str], order: str, values: list[str], depth: int, length: int,
+) -> DataFrame:
+    """Add `lag_1` ... `lag_<depth>`: the values (a struct) of the preceding
+    rows of the same key.  Needs a time column `t` that the order starts with.
+
+    Inside a time slice the rows are near.  Only the first rows of a slice look
+    back beyond it, and there the last rows of earlier slices are enough; so
+    no task sorts more than a slice, or a few rows per slice, of a key."""
     sliced = rows.withColumn("slice", slice_start(F.col("t"), length))
-    before = sliced.groupBy(*keys, "slice").agg(
-        F.max(F.struct("okey", F.col(value).alias("v"))).alias("last")
-    ).withColumn("last", F.lag("last").over(W.partitionBy(*keys).orderBy("slice"))).filter(
-        F.col("last").isNotNull()
-    ).select(
-        *keys, "slice", F.col("last.okey").alias("okey"), F.col("last.v").alias(value),
-        F.lit(False).alias("own"),
+    inside = W.partitionBy(*keys, "slice")
+    value = F.struct(*values)
+
+    def lags(w):
+        return [F.lag(value, n).over(w).alias(f"lag_{n}") for n in range(1, depth + 1)]
+
+    up, down = inside.orderBy(order), inside.orderBy(F.col(order).desc())
+    near = sliced.select(
+        "*", F.row_number().over(up).alias("from_start"), F.row_number().over(down).alias("to_end"),
+        *lags(up),
     )
-    return (
-        sliced.withColumn("own", F.lit(True))
-        .unionByName(before, allowMissingColumns=True)
-        .withColumn(name, F.lag(value).over(W.partitionBy(*keys, "slice").orderBy("okey")))
-        .filter("own").drop("own", "slice")
+    edge = near.filter((F.col("from_start") <= depth) | (F.col("to_end") <= depth))
+    along = W.partitionBy(*keys).orderBy(order)
+    first = edge.select(*rows.columns, "from_start", *lags(along)).filter(
+        F.col("from_start") <= depth
     )
+    names = [*rows.columns, *[f"lag_{n}" for n in range(1, depth + 1)]]
+    return near.filter(F.col("from_start") > depth).select(names).unionByName(first.select(names))
 
 
 def earliest_in_window(
@@ -52,15 +61,16 @@ def earliest_in_window(
     rows = candidates.withColumn("nr", F.row_number().over(order)).filter(
         F.col("nr") <= most
     ).drop("nr")
-    rows = rows.withColumn("lag_0", F.col("t"))
-    for n in range(1, most + 1):
-        rows = _with_lag(rows, [*keys, "c"], f"lag_{n - 1}", f"lag_{n}", length)
+    rows = with_lags(rows, [*keys, "c"], "okey", ["t"], most, length)
+
+    def time_back(n: int) -> Column:
+        return F.col(f"lag_{n}.t") if n else F.col("t")
 
     def nth(n: int) -> Column:
         return F.struct(
             F.lit(n).alias("n"),
-            F.greatest("t", F.col(f"lag_{n}") + window + 1).alias("begin"),
-            (F.col(f"lag_{n - 1}") + window).alias("end"),
+            F.greatest("t", time_back(n) + window + 1).alias("begin"),
+            (time_back(n - 1) + window).alias("end"),
         )
 
     asked = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])

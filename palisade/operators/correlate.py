@@ -244,7 +244,7 @@ def _keyed_chains(pool: DataFrame, member_rows: DataFrame, rule: SequenceRule,
     the rule and shares its address or user.  Fires once per value shared by
     the last two steps."""
     window = rule.window_sec * SECOND
-    length = max(length, window // 8)
+    length = max(length, window // 16)
     rows = pool.filter(_meets(rule.steps[0])).select("t", "okey", F.array("hit").alias("hits"))
     for nth, (step, kind) in enumerate(zip(rule.steps[1:], rule.links), 1):
         values = member_rows.filter(F.col("kind") == kind).select("finding_id", "value")
@@ -376,7 +376,7 @@ def correlate(
         window = params.correlation_window_sec * SECOND
         order = {r.rule_id: i for i, r in enumerate(rules)}
         for nr, level in enumerate(_levels(rules)):
-            fired = _fired(pool, level, window, length, member_rows)
+            fired = _fired(pool, level, window, max(length, window // 16), member_rows)
             parts.append(stored(fired))
             if nr + 1 < len(_levels(rules)):
                 pool = pool.select("t", "okey", "hit", *findings.columns).unionByName(

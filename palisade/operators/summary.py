@@ -66,8 +66,11 @@ def summarise(evidence: DataFrame, keys: list[str], kept: int) -> DataFrame:
     facts = cells.groupBy(*keys).agg(
         F.sum("n").alias("event_count"),
         F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
-        F.count_distinct(user).alias("n_users"),
-        *([] if "ip" in keys else [F.count_distinct(ip).alias("n_source_ips")]),
+        # with the address among the keys a user has one cell
+        *([F.count_if(named).alias("n_users")] if "ip" in keys else [
+            F.count_distinct(user).alias("n_users"),
+            F.count_distinct(ip).alias("n_source_ips"),
+        ]),
         F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)).alias("n_named"),
         F.bool_or(F.coalesce(F.col("user") == "root", F.lit(False))).alias("has_root"),
     )

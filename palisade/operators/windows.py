@@ -19,22 +19,24 @@ def slice_start(t: Column, length: int) -> Column:
 
 def with_previous(rows: DataFrame, keys: list[str], t: str, length: int) -> DataFrame:
     """Add `previous`: the preceding time of the same key, null for the first.
-    Expects one row per key and time.  Each slice gets the last time before it
-    as an extra row, so the look-back never crosses a slice."""
+    Expects one row per key and time.
+
+    Inside a time slice the preceding row is near.  Only the first row of a
+    slice looks beyond it, to the last row of an earlier slice; so no task
+    sorts more than a slice, or two rows per slice, of a key."""
     sliced = rows.withColumn("slice", slice_start(F.col(t), length))
-    along = W.partitionBy(*keys).orderBy("slice")
-    before = (
-        sliced.groupBy(*keys, "slice").agg(F.max(t).alias(t))
-        .withColumn(t, F.lag(t).over(along))
-        .filter(F.col(t).isNotNull())
-        .withColumn("own", F.lit(False))
+    inside, along = W.partitionBy(*keys, "slice").orderBy(t), W.partitionBy(*keys).orderBy(t)
+    near = sliced.select(
+        "*", F.lag(t).over(inside).alias("previous"), F.lead(t).over(inside).alias("next")
     )
-    inside = W.partitionBy(*keys, "slice").orderBy(t)
-    return (
-        sliced.withColumn("own", F.lit(True))
-        .unionByName(before, allowMissingColumns=True)
-        .withColumn("previous", F.lag(t).over(inside))
-        .filter("own").drop("own", "slice")
+    edge = near.filter(F.col("previous").isNull() | F.col("next").isNull())
+    first = edge.select(
+        *rows.columns, F.col("previous").isNull().alias("is_first"),
+        F.lag(t).over(along).alias("previous"),
+    ).filter("is_first")
+    names = [*rows.columns, "previous"]
+    return near.filter(F.col("previous").isNotNull()).select(names).unionByName(
+        first.select(names)
     )
 
 
