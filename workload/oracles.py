@@ -331,7 +331,8 @@ def reference_chains(p) -> str:
         ("enum_then_brute", ["n", "a"]), ("persistent_recon", ["n", "n2"]),
     ], "seen1"), "pool0")
     pool = """pool1 AS (SELECT ord::DOUBLE AS ord, t, id, rule_id, base FROM pool0 UNION ALL
-  SELECT trig + 0.5, r1.t, rule_id || '|' || ids, rule_id, base FROM r1)"""
+  SELECT trig + CASE rule_id WHEN 'brute_then_success' THEN 0.2 WHEN 'success_then_priv_esc' THEN 0.3
+    WHEN 'enum_then_brute' THEN 0.4 ELSE 0.5 END, r1.t, rule_id || '|' || ids, rule_id, base FROM r1)"""
     two = seen("seen2", w, {
         "a": earliest(ATTACK), "s": earliest("p.rule_id IN ('auth_success', 'brute_then_success')"),
         "v": earliest("p.rule_id = 'priv_esc'"),
@@ -640,8 +641,9 @@ SELECT ip, window_start, peak, t0 AS peak_start FROM pk
 QUALIFY peak >= 5 AND row_number() OVER (PARTITION BY ip, window_start ORDER BY peak DESC, t0) = 1""",
     "stream_candidates": grid("\"user\" <> ''", 6 * HOUR, 2 * HOUR, 5) + "SELECT * FROM grid",
     "stream_enumeration": grid(words("lower(message)", fixed.INVALID_USER_MARKERS), DAY, 6 * HOUR, 5) + "SELECT * FROM grid",
-    "stream_failed_sudo": f"""{events_ctes()}, src AS ({_failed}) SELECT "user", ts - ts % {DAY} AS window_start,
-  count(*) AS failed_count FROM src GROUP BY ALL HAVING count(*) >= 2 AND window_start + {DAY} <= (SELECT max(ts) FROM src) - {HOUR}""",
+    "stream_failed_sudo": f"""{events_ctes()}, src AS ({_failed}),
+  days AS (SELECT "user", ts - ts % {DAY} AS window_start, count(*) AS failed_count FROM src GROUP BY ALL)
+SELECT * FROM days WHERE failed_count >= 2 AND window_start + {DAY} <= (SELECT max(ts) FROM src) - {HOUR}""",
     "stream_followed_by_login": f"""{events_ctes()} SELECT DISTINCT 'brute_then_success' AS rule_id, a.ip FROM ev a
   JOIN ev b ON a.ip = b.ip AND a.event_type = 'auth_failure' AND b.event_type = 'auth_success'
   AND b.ts BETWEEN a.ts - a.ts % {HOUR} AND a.ts - a.ts % {HOUR} + {HOUR}""",
