@@ -6,7 +6,7 @@ import re
 import string
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # all characters that count as white space at the ends of a line
@@ -46,17 +46,25 @@ def contains_any(c: Column, words: Sequence[str]) -> Column:
     return c.rlike("|".join(re.escape(w) for w in words))
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once per row, however often and wherever
+    later steps mention it: a generator of one row keeps the optimiser from
+    copying the expression into filters."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def last_wins_map(entries: Column) -> Column:
-    """Map from an array of (key, value) structs in which a later entry
-    replaces an earlier one with the same key."""
-    backwards = F.reverse(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(
-        F.filter(
-            entries,
-            lambda e, i: F.array_position(backwards, e["key"])
-            == (F.size(entries) - i).cast("bigint"),
-        )
+    """Map from an array column of (key, value) structs in which a later entry
+    replaces an earlier one with the same key.  Give it a computed column."""
+    keys = entries["key"]
+    last = F.filter(
+        entries,
+        lambda e, i: ~F.array_contains(
+            F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["key"]
+        ),
     )
+    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.map_from_entries(F.when(repeated, last).otherwise(entries))
 
 
 def fill(template: str, **columns: Column) -> Column:

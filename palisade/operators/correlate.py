@@ -244,7 +244,7 @@ def _keyed_chains(pool: DataFrame, member_rows: DataFrame, rule: SequenceRule,
     the rule and shares its address or user.  Fires once per value shared by
     the last two steps."""
     window = rule.window_sec * SECOND
-    length = max(length, window // 16)
+    length = max(length, window // 4)
     rows = pool.filter(_meets(rule.steps[0])).select("t", "okey", F.array("hit").alias("hits"))
     for nth, (step, kind) in enumerate(zip(rule.steps[1:], rule.links), 1):
         values = member_rows.filter(F.col("kind") == kind).select("finding_id", "value")
@@ -387,7 +387,7 @@ def correlate(
             _keyed_chains(pool.filter(F.col("first_seen").isNotNull()), member_rows, r, length)
             for r in rules
         ]
-        told = _union_identity(reduce(DataFrame.unionByName, chains), member_rows)
+        told = _union_identity(stored(reduce(DataFrame.unionByName, chains)), member_rows)
         parts.append(stored(told.drop("sum_1", "sum_2")))
     else:
         raise ValueError(f"unknown mode: {mode}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fixed
 from palisade.functions.text import (
-    contains_any, first_filled_key, first_key, is_filled, last_wins_map, rx, strip,
+    computed, contains_any, first_filled_key, first_key, is_filled, last_wins_map, rx, strip,
 )
 from palisade.sources.lines import events_of, stripped
 
@@ -29,8 +29,8 @@ def severity_of(text: Column) -> Column:
     )
 
 
-def extension_map(ext: Column) -> Column:
-    """`key=value key=value` text -> map.  The text is cut before each key;
+def extension_pairs(ext: Column) -> Column:
+    """`key=value key=value` text -> pairs.  The text is cut before each key;
     a piece counts when its value holds no bare '=' up to its end."""
     pair = rx(r"(\w+)=([^\\=]*+(?:\\.[^\\=]*+)*+)$")
     pieces = F.split(ext, r"(?U)\s+(?=\w+=)")
@@ -43,17 +43,16 @@ def extension_map(ext: Column) -> Column:
             )
         ).alias("value"),
     ))
-    return last_wins_map(F.filter(entries, lambda e: e["key"] != ""))
+    return F.filter(entries, lambda e: e["key"] != "")
 
 
-def attribute_map(text: Column) -> Column:
-    """Tab-separated `key=value` text -> map."""
+def attribute_pairs(text: Column) -> Column:
+    """Tab-separated `key=value` text -> pairs."""
     pieces = F.filter(F.split(text, "\t"), lambda p: F.contains(p, F.lit("=")))
-    entries = F.transform(pieces, lambda p: F.struct(
+    return F.transform(pieces, lambda p: F.struct(
         strip(F.substring_index(p, "=", 1)).alias("key"),
         strip(F.substr(p, F.locate("=", p) + 1)).alias("value"),
     ))
-    return last_wins_map(entries)
 
 
 def _event_type(words: Column) -> Column:
@@ -101,12 +100,12 @@ def parse_cef(lines: DataFrame) -> DataFrame:
     """Lines that hold `CEF:`, from that mark on; a header without its seven
     bars drops the line."""
     f = F.col("f")
+    df = computed(
+        stripped(lines).filter(F.contains("line", F.lit("CEF:"))),
+        "f", F.split(F.substr("line", F.locate("CEF:", "line")), r"\|", 8),
+    ).filter((F.size("f") == 8) & f[0].rlike(rx(r"^CEF:\d+$")))
     df = (
-        stripped(lines)
-        .filter(F.contains("line", F.lit("CEF:")))
-        .withColumn("f", F.split(F.substr("line", F.locate("CEF:", "line")), r"\|", 8))
-        .filter((F.size("f") == 8) & f[0].rlike(rx(r"^CEF:\d+$")))
-        .withColumn("ext", extension_map(f[7]))
+        computed(computed(df, "pairs", extension_pairs(f[7])), "ext", last_wins_map(F.col("pairs")))
         .withColumn("ip", _first_address(F.col("ext")))
         .withColumn("user", first_filled_key(F.col("ext"), fixed.CEF_USER_KEYS))
     )
@@ -136,12 +135,16 @@ def parse_leef(lines: DataFrame) -> DataFrame:
     """Lines that hold `LEEF:` and no `CEF:`; always of the generic type and
     without a time."""
     f = F.col("f")
+    df = computed(
+        stripped(lines).filter(
+            F.contains("line", F.lit("LEEF:")) & ~F.contains("line", F.lit("CEF:"))
+        ),
+        "f", F.split(F.substr("line", F.locate("LEEF:", "line")), r"\|", 6),
+    ).filter(F.size("f") == 6)
     df = (
-        stripped(lines)
-        .filter(F.contains("line", F.lit("LEEF:")) & ~F.contains("line", F.lit("CEF:")))
-        .withColumn("f", F.split(F.substr("line", F.locate("LEEF:", "line")), r"\|", 6))
-        .filter(F.size("f") == 6)
-        .withColumn("attrs", attribute_map(f[5]))
+        computed(
+            computed(df, "pairs", attribute_pairs(f[5])), "attrs", last_wins_map(F.col("pairs"))
+        )
         .withColumn("ip", first_key(F.col("attrs"), fixed.LEEF_IP_KEYS))
         .withColumn("user", first_key(F.col("attrs"), fixed.LEEF_USER_KEYS))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fixed
 from palisade.functions.text import blank_to_null
-from palisade.sources.lines import events_of
+from palisade.sources.lines import event_id, events_of
 
 _OWN = ("event_id", "source")
 
@@ -35,12 +35,11 @@ def parse_csv(rows: DataFrame) -> DataFrame:
         return F.lit("") if found is None else F.coalesce(F.col(f"`{found}`").cast("string"), F.lit(""))
 
     values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in data]
-    have = rows.columns
+    source = F.col("source") if "source" in rows.columns else F.lit("")
     df = rows.select(
         *[F.col(f"`{c}`") for c in data],
-        (F.col("event_id") if "event_id" in have else F.monotonically_increasing_id())
-        .cast("bigint").alias("event_id"),
-        (F.col("source") if "source" in have else F.lit("")).alias("source"),
+        event_id(rows, source, F.concat_ws(",", *values)).alias("event_id"),
+        source.alias("source"),
     )
     return events_of(
         df,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fixed
-from palisade.functions.text import blank_to_null, first_key, last_wins_map
+from palisade.functions.text import blank_to_null, computed, first_key, last_wins_map
 from palisade.sources.lines import events_of, stripped
 
 
@@ -31,6 +31,15 @@ def time_of(m: Column) -> Column:
                   F.when(fraction != "", F.timestamp_micros(micros)).otherwise(seconds))
 
 
+def _objects(df: DataFrame) -> DataFrame:
+    """Rows whose `raw` text is an object, with its fields as the map `obj`."""
+    df = df.filter(F.startswith(F.col("raw"), F.lit("{")))
+    df = computed(df, "pairs", F.map_entries(F.from_json("raw", "map<string,string>")))
+    return computed(
+        df.filter(F.col("pairs").isNotNull()), "obj", last_wins_map(F.col("pairs"))
+    ).drop("pairs")
+
+
 def _events(df: DataFrame) -> DataFrame:
     m = F.col("obj")
 
@@ -61,12 +70,9 @@ def parse_json_lines(lines: DataFrame) -> DataFrame:
     df = stripped(lines) if not number else stripped(
         lines.withColumn("event_id", F.col("line_no"))
     )
-    df = df.withColumn("obj", F.from_json("line", "map<string,string>")).filter(
-        F.col("obj").isNotNull() & F.startswith(F.col("line"), F.lit("{"))
-    )
+    df = _objects(df.select("event_id", "source", F.col("line").alias("raw")))
     return _events(df.select(
-        "event_id", "source", F.col("line").alias("raw"),
-        last_wins_map(F.map_entries("obj")).alias("obj"),
+        "event_id", "source", "raw", "obj",
         (F.col("event_id") if number else F.lit(None).cast("bigint")).alias("line_number"),
     ))
 
@@ -81,11 +87,7 @@ def parse_json_documents(documents: DataFrame) -> DataFrame:
         "array<string>",
     )
     df = df.select("event_id", "source", F.posexplode(listed).alias("pos", "raw"))
-    df = df.withColumn("obj", F.from_json("raw", "map<string,string>")).filter(
-        F.col("obj").isNotNull() & F.startswith(F.col("raw"), F.lit("{"))
-    )
-    return _events(df.select(
-        "event_id", "source", "raw",
-        last_wins_map(F.map_entries("obj")).alias("obj"),
+    return _events(_objects(df).select(
+        "event_id", "source", "raw", "obj",
         (F.col("pos") + 1).alias("line_number"),
     ))

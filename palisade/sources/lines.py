@@ -14,17 +14,28 @@ from palisade.functions.text import strip
 from palisade.schema import EVENTS, conform
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few files dealt out to all task slots, so that the work that
+    follows is not done by a handful of tasks (a gz file is one task).  With
+    at least as many files as slots nothing is shuffled."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+
+
 def read_lines(spark: SparkSession, paths, line_sep: str | None = None) -> DataFrame:
     """Text files as a line table.  gz and bz2 are decompressed by the reader;
     bytes that are not UTF-8 are replaced."""
     reader = spark.read
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)
-    return reader.text(paths).select(
+    names = [paths] if isinstance(paths, str) else list(paths)
+    df = reader.text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("source"),
         F.monotonically_increasing_id().alias("event_id"),
     )
+    # only compressed files cannot be split by the reader itself
+    return spread(df) if any(n.lower().endswith((".gz", ".bz2")) for n in names) else df
 
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
@@ -36,14 +47,24 @@ def read_documents(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def event_id(df: DataFrame, source: Column, text: Column) -> Column:
+    """The id the input carries, else the place of the row.  A stream has no
+    places: there equal lines of one source share an id, unless the stream
+    brings one (such as an offset)."""
+    if "event_id" in df.columns:
+        return F.col("event_id").cast("bigint")
+    if df.isStreaming:
+        return F.xxhash64(source, text)
+    return F.monotonically_increasing_id()
+
+
 def stripped(lines: DataFrame) -> DataFrame:
     """Lines without white space at the ends, blank ones dropped, with the
     `source` and `event_id` columns filled in where the input lacks them."""
-    have = lines.columns
+    source = F.col("source") if "source" in lines.columns else F.lit("")
     return lines.select(
-        (F.col("event_id") if "event_id" in have else F.monotonically_increasing_id())
-        .cast("bigint").alias("event_id"),
-        (F.col("source") if "source" in have else F.lit("")).alias("source"),
+        event_id(lines, source, F.col("value")).alias("event_id"),
+        source.alias("source"),
         strip(F.col("value")).alias("line"),
     ).filter(F.col("line") != "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fixed
-from palisade.functions.text import blank_to_null, rx
+from palisade.functions.text import blank_to_null, computed, rx
 from palisade.sources.lines import events_of, stripped
 
 
@@ -73,10 +73,11 @@ def parse_syslog(lines: DataFrame, year: int | None = None) -> DataFrame:
     # line ends, which a line cannot hold
     fields = F.split(F.col("heading"), "\n", 5)
     year_col = F.year(F.current_date()) if year is None else F.lit(year)
-    df = stripped(lines).withColumn(
-        "heading", F.regexp_replace("line", rx(fixed.SYSLOG_HEADER), "\n$1\n$2\n$3\n$4")
-    ).withColumn("headed", F.startswith(F.col("heading"), F.lit("\n")))
-    df = df.withColumn("part", F.when(F.col("headed"), fields)).select(
+    heading = F.regexp_replace("line", rx(fixed.SYSLOG_HEADER), "\n$1\n$2\n$3\n$4")
+    df = computed(stripped(lines), "heading", heading).withColumn(
+        "headed", F.startswith(F.col("heading"), F.lit("\n"))
+    )
+    df = computed(df, "part", F.when(F.col("headed"), fields)).select(
         "event_id", "source", F.col("line").alias("raw"),
         line_time(F.col("line"), year_col).alias("ts"),
         F.when(F.col("headed"), F.col("part")[1]).otherwise("").alias("host"),

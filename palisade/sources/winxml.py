@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fixed
-from palisade.functions.text import blank_to_null, strip
+from palisade.functions.text import blank_to_null, computed, strip
 from palisade.sources.lines import events_of, stripped
 
 # reading text with this separator gives one event per row
@@ -55,8 +55,9 @@ def parse_windows_xml(documents: DataFrame) -> DataFrame:
     """Rows with one `<Event>` element each in `value`.  A record that is not
     well-formed or has no event id is dropped; machine accounts are dropped
     from the logon events."""
-    df = stripped(documents).withColumn(
-        "x", F.from_xml("line", _LAYOUT, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    df = computed(
+        stripped(documents), "x",
+        F.from_xml("line", _LAYOUT, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}),
     )
     df = df.select(
         "event_id", "source", F.col("line").alias("raw"),

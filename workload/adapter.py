@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.plans.storage import stored
+from palisade.sources.lines import spread
 from palisade.sources.syslog import parse_syslog
 
 YEAR = 2024
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
-    return with_actors(table(spark, sf_dir, "events"), daily)
+    return with_actors(spread(table(spark, sf_dir, "events")), daily)
 
 
 def with_actors(events: DataFrame, daily: bool = False) -> DataFrame:
