@@ -69,28 +69,35 @@ def peak_window(
     zero, n = F.lit(0).cast("bigint"), F.col("n").cast("bigint")
     weight = weight.cast("bigint")
 
-    def point(at, values, rows, start):
+    def point(at, values, rows, values_off, rows_off, start):
         return F.struct(
             at.alias("at"), values.alias("values"), rows.alias("rows"),
+            values_off.alias("values_off"), rows_off.alias("rows_off"),
             F.lit(start).alias("is_start"),
         )
 
+    # what opens at a time counts there; what closes at a time still does
     ends = [
-        point(F.col(t) - window, zero, n, False),
-        point(F.col(t) + 1, -weight, -n, False),
-        point(F.col(t), zero, zero, True),
+        point(F.col(t) - window, zero, n, zero, zero, False),
+        point(F.col(t), zero, zero, weight, n, True),
     ]
     if distinct is not None:
-        ends.append(point(open_at, weight, zero, False))
+        ends.append(point(open_at, weight, zero, zero, zero, False))
     points = cells.select(key, F.inline(F.array(*ends))).withColumn(
         "slice", slice_start(F.col("at"), length)
     )
-    # the default frame of an ordered window takes in all rows of equal time
-    inside = W.partitionBy(key, "slice").orderBy("at")
+    ordered = W.partitionBy(key, "slice").orderBy("at")
+    upto = ordered.rangeBetween(W.unboundedPreceding, 0)
+    until = ordered.rangeBetween(W.unboundedPreceding, -1)
+
+    def here(name: str) -> Column:
+        return F.sum(name).over(upto) - F.coalesce(F.sum(f"{name}_off").over(until), zero)
+
     running = points.select(
-        key, "slice", "at", "values", "rows", "is_start",
-        F.sum("values").over(inside).alias("values_here"),
-        F.sum("rows").over(inside).alias("rows_here"),
+        key, "slice", "at", "is_start",
+        (F.col("values") - F.col("values_off")).alias("values"),
+        (F.col("rows") - F.col("rows_off")).alias("rows"),
+        here("values").alias("values_here"), here("rows").alias("rows_here"),
     )
     measure = "rows_here" if distinct is None else "values_here"
     slices = running.groupBy(key, "slice").agg(
