@@ -74,13 +74,15 @@ def judged(
     n_repeat_words, base_failed, llr (per word) and kept."""
     names = docs.columns
     text = F.coalesce(F.col("row.text"), F.lit(""))
+    # folded to one constant of at most `buckets` numbers
+    table = F.split(F.lit(",".join(map(str, weights.tolist()))), ",").cast("array<bigint>")
     # each step is a struct column beside the row, so no name of docs can clash
     step = docs.select(F.struct(*(docs[c] for c in names)).alias("row"))
     step = step.select("row", words(text).alias("w"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
     total = F.aggregate(
         "w", F.lit(0).cast("long"),
-        lambda acc, w: acc + F.get(F.lit(weights), _bucket(w, len(weights), n)))
+        lambda acc, w: acc + F.get(table, _bucket(w, len(weights), n)))
     h2 = _doubled(F.transform("w", lambda w: F.xxhash64(w)), 1)
     step = step.select(
         "row", F.size("w").cast("long").alias("n_words"), total.alias("total"), h2.alias("h"),
