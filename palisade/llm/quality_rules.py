@@ -108,6 +108,9 @@ def judged(
     step = step.select(*kept, F.coalesce(covered, F.lit(0)).alias("n_repeat_words"))
     failed = ((F.col("n_words") < least_words)
               | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated_pct))
+    # the row number makes this step opaque: a filter on the result that moved down through
+    # the steps would work out each of them many times over
+    failed = failed & (F.monotonically_increasing_id() >= 0)
     enough = F.col("total") >= F.col("n_words") * int(round(threshold * SCALE))
     return step.select(
         *(F.col("row")[c].alias(c) for c in names),
