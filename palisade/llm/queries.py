@@ -1,4 +1,4 @@
-"""The registered queries of this package, and their SQL where it can say the same."""
+"""The registered queries of this package.  Their SQL is in oracles.py."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from palisade.llm import (
     decontamination, factorisation, mixing, quality_rules, sharding, simhash, substring_dedup,
     token_counts, toxicity, url_filter,
 )
+from palisade.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +106,4 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
-}
-
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
