@@ -339,9 +339,14 @@ def _described(fired: DataFrame, findings: DataFrame, rules: Sequence[SequenceRu
 
 
 def chain_evidence(links: DataFrame, evidence: DataFrame,
-                   cap: int | None = fixed.CORRELATED_EVIDENCE_CAP) -> DataFrame:
-    """Events of the chains: those of their members in order, the first `cap`
-    of each chain (all of them with None)."""
+                   cap: int | None = None) -> DataFrame:
+    """Events of the chains: those of their members in order; with a cap the
+    first ones of each chain.  The cap is applied to each member before the join,
+    which changes nothing (the position leads the order) but bounds the joined rows."""
+    if cap is not None:
+        first = W.partitionBy("finding_id").orderBy(F.col("ts").asc_nulls_last(), "event_id")
+        evidence = evidence.withColumn("nr", F.row_number().over(first)).filter(
+            F.col("nr") <= cap).drop("nr")
     rows = links.select(F.col("finding_id").alias("chain_id"), "position", "member_id").join(
         evidence.withColumnRenamed("finding_id", "member_id"), "member_id"
     )
@@ -356,7 +361,7 @@ def chain_evidence(links: DataFrame, evidence: DataFrame,
 def correlate(
     found: Detection, params: Params = Params(),
     rules: Sequence[SequenceRule] = BUILT_IN_RULES, mode: str = "reference",
-    evidence_cap: int | None = fixed.CORRELATED_EVIDENCE_CAP,
+    evidence_cap: int | None = None,
 ) -> Correlation:
     """Link findings into chains.
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields
 
 from palisade import fixed_values as fixed
 
+ALL_NAMES = 2_147_483_647
+
 
 @dataclass(frozen=True)
 class Params:
@@ -22,9 +24,10 @@ class Params:
     allowed_users: object = ()
     # privilege findings are global by default; name columns to split them
     priv_esc_per: tuple[str, ...] = ()
-    # length of the sorted name arrays kept in a finding row (the exact counts
-    # stand beside them, every name is in the evidence and members relations)
-    names_kept: int = 100
+    # length of the sorted name arrays of a finding row: all names by default.  A
+    # smaller number makes them previews; the exact counts stand beside them, and
+    # the members relation has every name
+    names_kept: int = ALL_NAMES
     # length of a time slice: the unit by which a busy source is split
     slice_sec: int = 60
 

@@ -87,7 +87,8 @@ def parse_json_documents(documents: DataFrame) -> DataFrame:
         "array<string>",
     )
     df = df.select("event_id", "source", F.posexplode(listed).alias("pos", "raw"))
+    # an element is told by its document and its place there
     return _events(_objects(df).select(
-        "event_id", "source", "raw", "obj",
+        F.xxhash64("event_id", "source", "pos").alias("event_id"), "source", "raw", "obj",
         (F.col("pos") + 1).alias("line_number"),
     ))

@@ -33,16 +33,28 @@ def format_of(path: str) -> str:
     return "syslog"
 
 
-def _json_layout(spark: SparkSession, path) -> str:
-    """A `.json` file is read by lines unless its first line is not a whole
-    object by itself; looks at one line only."""
-    first = (
-        spark.read.text(path).filter(F.btrim("value") != "")
-        .select(F.from_json("value", "map<string,string>").isNotNull().alias("whole"),
-                F.startswith(F.btrim("value"), F.lit("{")).alias("object"))
-        .head()
+FEW_FILES = 100_000
+
+
+def _load_json(spark: SparkSession, path) -> DataFrame:
+    """Each `.json` file is read by lines unless its own first line is not a whole
+    object by itself, so a folder may hold files of both kinds."""
+    lines = read_lines(spark, path)
+    whole = F.from_json("first", "map<string,string>").isNotNull() & F.startswith(
+        F.btrim("first"), F.lit("{"))
+    layout = (
+        lines.filter(F.btrim("value") != "").groupBy("source")
+        .agg(F.min_by("value", "event_id").alias("first"))
+        .select("source", F.coalesce(whole, F.lit(False)).alias("by_line"))
     )
-    return "jsonl" if first is None or (first["whole"] and first["object"]) else "json_document"
+    if layout.limit(FEW_FILES + 1).count() <= FEW_FILES:
+        layout = F.broadcast(layout)  # a row per file, counted
+    documents = read_documents(spark, path)
+    return jsonlog.parse_json_lines(
+        lines.join(layout.filter("by_line"), "source", "left_semi")
+    ).unionByName(jsonlog.parse_json_documents(
+        documents.join(layout.filter("not by_line"), "source", "left_semi")
+    ))
 
 
 def load_events(
@@ -55,8 +67,8 @@ def load_events(
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
     if fmt == "json":
-        fmt = _json_layout(spark, path)
-    if fmt == "jsonl":
+        events = _load_json(spark, path)
+    elif fmt == "jsonl":
         events = jsonlog.parse_json_lines(read_lines(spark, path))
     elif fmt == "json_document":
         events = jsonlog.parse_json_documents(read_documents(spark, path))
@@ -74,13 +86,13 @@ def load_events(
 
 
 def load_many(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Events of several paths of any formats.  Ids of different paths are
-    kept apart by the position of the path."""
+    """Events of any number of paths of any formats.  The ids of different paths are
+    kept apart by a hash of the path and the id."""
     frames = [
         load_events(spark, p, **options).withColumn(
-            "event_id", F.col("event_id") + F.lit(i << 56)
+            "event_id", F.xxhash64(F.lit(p), F.col("event_id"))
         )
-        for i, p in enumerate(paths)
+        for p in paths
     ]
     out = frames[0]
     for frame in frames[1:]:

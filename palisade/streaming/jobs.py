@@ -54,6 +54,18 @@ def _failures(events: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def _rows_of(detector: str, events: DataFrame, params: Params) -> DataFrame:
+    """The failures that a detector looks at."""
+    rows = _failures(events, params)
+    if detector == "brute_force":
+        return rows
+    if detector == "password_spray":
+        return rows.filter(is_filled(F.col("user")))
+    if detector == "enumeration":
+        return rows.filter(contains_any(F.lower("message"), fixed.INVALID_USER_MARKERS))
+    raise ValueError(f"no such detector: {detector}")
+
+
 def brute_force_candidates(
     events: DataFrame, params: Params = Params(), delay: str = "10 minutes",
     step_sec: int | None = None,
@@ -70,7 +82,7 @@ def password_spray_candidates(
 ) -> DataFrame:
     """Addresses that may spray: as many events as accounts are asked for."""
     window = params.spray_window_sec
-    rows = _failures(events, params).filter(is_filled(F.col("user")))
+    rows = _rows_of("password_spray", events, params)
     return _grid(rows, "ip", window, step_sec or max(1, window // 4), delay,
                  max(2, params.spray_threshold // 2))
 
@@ -81,26 +93,37 @@ def enumeration_candidates(
 ) -> DataFrame:
     """Addresses that may probe for account names."""
     window = params.brute_force_window_sec
-    rows = _failures(events, params).filter(
-        contains_any(F.lower("message"), fixed.INVALID_USER_MARKERS)
-    )
+    rows = _rows_of("enumeration", events, params)
     return _grid(rows, "ip", window, step_sec or max(1, window // 4), delay,
                  params.enumeration_threshold)
 
 
 def confirm(
     candidates: DataFrame, events: DataFrame, params: Params = Params(),
-    distinct: bool = False, window_sec: int | None = None, least: int | None = None,
+    distinct: bool | None = None, window_sec: int | None = None, least: int | None = None,
+    detector: str = "brute_force",
 ) -> DataFrame:
-    """Exact peaks of candidate stretches: a batch of candidates against the
-    stored events, for use in foreachBatch.  Gives `ip, window_start, peak,
-    peak_start` where the peak reaches `least`."""
-    window = window_sec or params.brute_force_window_sec
-    least = least or params.brute_force_threshold
-    rows = _failures(events, params).select("ip", "user", "ts")
-    # times of one address that several overlapping stretches share are kept
-    # for each of them
-    inside = rows.join(candidates.select("ip", "window_start", "window_end"), "ip").filter(
+    """Exact peaks of candidate stretches: a batch of candidates of a detector
+    against the stored events it looks at, for use in foreachBatch.  Gives `ip,
+    window_start, peak, peak_start` where the peak reaches `least`."""
+    spray = detector == "password_spray"
+    distinct = spray if distinct is None else distinct
+    window = window_sec or (params.spray_window_sec if spray else params.brute_force_window_sec)
+    least = least or {
+        "brute_force": params.brute_force_threshold, "password_spray": max(2, params.spray_threshold // 2),
+        "enumeration": params.enumeration_threshold,
+    }[detector]
+    rows = _rows_of(detector, events, params).select("ip", "user", "ts")
+    # the window is part of the join key, so an address meets the events of its own
+    # stretches only; times that overlapping stretches share are kept for each of them
+    cell = window * SECOND
+    start, end = micros(F.col("window_start")), micros(F.col("window_end"))
+    stretches = candidates.select("ip", "window_start", "window_end").distinct().select(
+        "ip", "window_start", "window_end", F.explode(F.sequence(
+            F.floor(start / cell), F.floor((end - 1) / cell))).alias("cell"))
+    inside = rows.withColumn("cell", F.floor(micros(F.col("ts")) / cell)).join(
+        stretches, ["ip", "cell"]
+    ).filter(
         (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end"))
     ).select(
         F.struct("ip", "window_start").alias("stretch"), "user", micros(F.col("ts")).alias("t")

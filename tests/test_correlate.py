@@ -4,7 +4,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import AUTH_LOG, T0, event, lines_frame
+from fixtures import AUTH_LOG, BURST, T0, event, lines_frame
 from palisade import Params, detect
 from palisade.operators.correlate import BUILT_IN_RULES, SequenceRule, chain_evidence, correlate
 from palisade.operators.detection import RANKS, Detection
@@ -158,20 +158,20 @@ def test_circle_is_an_error(spark):
 def test_scenario(spark):
     events = stored(parse_syslog(lines_frame(spark, AUTH_LOG), 2024))
     got = correlate(detect(events))
-    rows = got.findings.filter("is_correlated").orderBy("rule_id").collect()
+    rows = got.findings.filter("is_correlated").orderBy("rule_id", "finding_id").collect()
     assert [(r.rule_id, r.severity) for r in rows] == [
         ("brute_then_success", "CRITICAL"), ("full_attack_chain", "CRITICAL"),
-        ("success_then_priv_esc", "CRITICAL")]
-    brute, full, priv = rows
+        ("success_then_priv_esc", "CRITICAL"), ("success_then_priv_esc", "CRITICAL")]
+    brute, full, priv, own = rows
     assert brute.correlated_rules == ["brute_force", "auth_success"]
-    assert brute.source_ips == ["45.33.32.156"] and brute.event_count == 10
-    assert brute.n_users == 8 and brute.title == "Brute force succeeded"
+    assert brute.source_ips == [BURST] and brute.event_count == 15
+    assert brute.n_users == 7 and brute.title == "Brute force succeeded"
     assert full.correlated_rules == ["brute_force", "auth_success", "priv_esc"]
-    assert priv.users == ["deploy"] and priv.metadata["window_sec"] == "1800"
-    assert got.findings.count() == 10
-    assert got.findings.filter("severity != 'INFO'").count() == 8
+    assert priv.users == ["svc"] and own.users == ["nora"] and priv.metadata["window_sec"] == "1800"
+    assert got.findings.count() == 12
+    assert got.findings.filter("severity != 'INFO'").count() == 10
     chain = got.evidence.filter(F.col("finding_id") == brute.finding_id)
-    assert chain.count() == 10
+    assert chain.count() == 15
     three = chain_evidence(got.links, detect(events).evidence, 3)
     assert three.filter(F.col("finding_id") == full.finding_id).count() == 3
 

@@ -1,4 +1,4 @@
-from fixtures import AUTH_LOG, T0, event, events_frame, lines_frame
+from fixtures import AUTH_LOG, BURST, LATE_BURST, T0, event, events_frame, lines_frame
 from palisade import Params, detect
 from palisade.operators.accounts import auth_success, priv_esc
 from palisade.operators.allow import split_allowlist
@@ -204,8 +204,8 @@ def test_scenario(spark):
     events = parse_syslog(lines_frame(spark, AUTH_LOG), 2024)
     got = detect(events).findings.orderBy("finding_rank", "finding_id").collect()
     assert [(f.rule_id, f.severity, f.event_count) for f in got] == [
-        ("brute_force", "HIGH", 6), ("brute_force", "HIGH", 9), ("password_spray", "MEDIUM", 9),
-        ("priv_esc", "CRITICAL", 2), ("priv_esc", "HIGH", 1),
+        ("brute_force", "HIGH", 7), ("brute_force", "HIGH", 14), ("password_spray", "MEDIUM", 14),
+        ("priv_esc", "CRITICAL", 1), ("priv_esc", "MEDIUM", 1), ("priv_esc", "HIGH", 1),
         ("auth_success", "INFO", 1), ("auth_success", "INFO", 1),
     ]
     only = detect(events, rules=["brute_force"]).findings
@@ -222,25 +222,25 @@ def test_additional_detector(spark):
 def test_allowlist_of_findings(spark):
     events = parse_syslog(lines_frame(spark, AUTH_LOG), 2024)
     found = detect(events)
-    ips, users = ("45.33.32.156", "185.220.101.42"), ("deploy", "backdoor", "alice")
+    ips, users = (BURST, LATE_BURST), ("svc", "ghost", "nora")
 
     def check(p):
         kept, suppressed = split_allowlist(found.findings, found.evidence, p)
-        assert sorted(r.finding_id for r in kept.collect()) == ["auth_success|25"]
+        assert sorted(r.finding_id for r in kept.collect()) == ["auth_success|2", "priv_esc|normal_sudo"]
         reasons = {r.finding_id: r.reason for r in suppressed.collect()}
         assert len(reasons) == 6
-        assert reasons["brute_force|185.220.101.42"] == "all source IPs allowlisted: 185.220.101.42"
-        assert reasons["priv_esc|high_risk_sudo"] == "all targeted users allowlisted: deploy"
+        assert reasons[f"brute_force|{LATE_BURST}"] == f"all source IPs allowlisted: {LATE_BURST}"
+        assert reasons["priv_esc|high_risk_sudo"] == "all targeted users allowlisted: svc"
 
     check(Params(allowed_ips=ips, allowed_users=users[:2]))
     check(Params(allowed_ips=ips, allowed_users=users[:2], names_kept=1))
     table = lambda v: spark.createDataFrame([(x,) for x in v], "v string")
     check(Params(allowed_ips=table(ips), allowed_users=table(users[:2])))
     kept, suppressed = split_allowlist(found.findings, found.evidence, Params())
-    assert kept.count() == 7 and suppressed.count() == 0
+    assert kept.count() == 8 and suppressed.count() == 0
     part = Params(allowed_users=("root", "admin"))
     kept, suppressed = split_allowlist(found.findings, found.evidence, part)
-    assert [r.finding_id for r in suppressed.collect()] == ["brute_force|185.220.101.42"]
+    assert [r.finding_id for r in suppressed.collect()] == [f"brute_force|{LATE_BURST}"]
 
 
 def test_parameters_from_mapping():

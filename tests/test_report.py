@@ -3,7 +3,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import AUTH_LOG, T0, event, events_frame, lines_frame
+from fixtures import AUTH_LOG, BURST, T0, event, events_frame, lines_frame
 from palisade import detect
 from palisade.operators import report
 from palisade.operators.correlate import correlate
@@ -29,14 +29,14 @@ def case(events):
 
 
 def test_event_filters(events):
-    assert filter_events(events, severity="error").count() == 16
-    assert filter_events(events, severity="nonsense").count() == 26
+    assert filter_events(events, severity="error").count() == 23
+    assert filter_events(events, severity="nonsense").count() == 32
     assert filter_events(events, severity="HIGH").count() == 0
-    assert filter_events(events, keyword="FAILED PASSWORD").count() == 16
+    assert filter_events(events, keyword="FAILED PASSWORD").count() == 23
     assert filter_events(events, keyword="failed password", event_type="AUTH_FAILURE", limit=3).count() == 3
     first = filter_events(events, limit=2).collect()
     assert [r.event_id for r in first] == [2, 3]
-    assert filter_events(events, limit=0).count() == 26
+    assert filter_events(events, limit=0).count() == 32
     assert event_columns(events).columns[:3] == ["event_type", "severity", "ts"]
     assert len(event_columns(events, csv=True).columns) == 8
 
@@ -51,24 +51,24 @@ def test_normalise(spark):
 
 def test_finding_filters(case):
     findings, _ = case
-    assert at_least(findings, "critical").count() == 4
-    assert at_least(findings, "HIGH").count() == 7
-    assert at_least(findings, "MEDIUM").count() == 8
-    assert at_least(findings, "whatever").count() == 10
-    assert without_info(findings).count() == 8
+    assert at_least(findings, "critical").count() == 5
+    assert at_least(findings, "HIGH").count() == 8
+    assert at_least(findings, "MEDIUM").count() == 10
+    assert at_least(findings, "whatever").count() == 12
+    assert without_info(findings).count() == 10
     flat = flat_findings(findings)
     assert len(flat.columns) == 10
-    row = flat.filter("rule_id = 'brute_force' and event_count = 9").first()
-    assert row.users == "admin;ftp1;oracle;postgres;root;test1;ubuntu" and row.source_ips == "45.33.32.156"
+    row = flat.filter("rule_id = 'brute_force' and event_count = 14").first()
+    assert row.users == "git;mail;nora;pilot;root;svc;www" and row.source_ips == BURST
 
 
 def test_order_and_listing(case):
     findings, _ = case
     order = [r.severity for r in report.ranked(findings).collect()]
-    assert order == ["CRITICAL"] * 4 + ["HIGH"] * 3 + ["MEDIUM"] + ["INFO"] * 2
+    assert order == ["CRITICAL"] * 5 + ["HIGH"] * 3 + ["MEDIUM"] * 2 + ["INFO"] * 2
     ids = [r.finding_id for r in report.ranked(findings).collect()]
     nr = report.numbered(findings).orderBy("nr").collect()
-    assert [r.nr for r in nr] == list(range(1, 11)) and [r.finding_id for r in nr] == ids
+    assert [r.nr for r in nr] == list(range(1, 13)) and [r.finding_id for r in nr] == ids
     assert report.listing(findings).columns == ["nr", "severity", "rule_id", "title", "event_count"]
 
 
@@ -80,8 +80,8 @@ def test_numbering_without_times(spark):
 
 def test_summary(case):
     r = report.summary(*case).first()
-    assert (r.total_findings, r.critical, r.high, r.medium, r.low, r.correlated) == (10, 4, 3, 1, 0, 3)
-    assert (r.n_source_ips, r.n_users) == (3, 10)
+    assert (r.total_findings, r.critical, r.high, r.medium, r.low, r.correlated) == (12, 5, 3, 2, 0, 4)
+    assert (r.n_source_ips, r.n_users) == (3, 8)
     assert r.status == "CRITICAL — immediate action required"
     assert report.names(*case).filter("kind = 'ip'").count() == 3
 
@@ -97,9 +97,9 @@ def test_timeline(case):
     times = [r.ts for r in rows]
     assert times == sorted(times)
     kinds = {k: sum(r.kind == k for r in rows) for k in ("finding", "correlated", "event")}
-    # 15 + 1 failed logins, 2 logins, 2 root commands, 1 new account
-    assert kinds == {"finding": 7, "correlated": 3, "event": 20}
-    assert rows[0].kind == "correlated" and rows[0].action == "Full attack chain detected"
+    # 14 + 7 failed logins, 2 logins, 2 commands as root, 1 new account
+    assert kinds == {"finding": 8, "correlated": 4, "event": 26}
+    assert rows[0].kind == "correlated" and rows[0].action == "Login followed by privilege escalation"
     short = report.timeline(*case, detail_chars=20).collect()
     assert max(len(r.detail) for r in short) == 20
 
@@ -122,19 +122,19 @@ def test_actions(case):
     assert got[0].severity == "CRITICAL" and got[-1].severity == "INFO"
     # the two addresses of the bursts give different beginnings, the spray and
     # the burst of one address too; the two logins share one advice
-    assert len(got) == 9
+    assert len(got) == 10
 
 
 def test_evidence(spark, case):
     findings, evidence = case
     lines = report.evidence_lines(findings, evidence).collect()
-    assert len(lines) == len({r.raw for r in lines}) == 20
-    assert lines[0].title == "Full attack chain detected"
+    assert len(lines) == len({r.raw for r in lines}) == 26
+    assert lines[0].title == "Login followed by privilege escalation"
     assert report.capped_evidence(evidence, 2).groupBy("finding_id").count().agg(F.max("count")).first()[0] == 2
     rows = report.export_rows(findings, evidence, 3).collect()
-    assert len(rows) == 10 and max(len(r.evidence) for r in rows) == 3
-    one = next(r for r in rows if r.rule_id == "brute_force" and r.event_count == 9)
-    assert one.evidence[0].timestamp == "2024-04-09 08:03:44" and "ord" not in one.evidence[0].asDict()
+    assert len(rows) == 12 and max(len(r.evidence) for r in rows) == 3
+    one = next(r for r in rows if r.rule_id == "brute_force" and r.event_count == 14)
+    assert one.evidence[0].timestamp == "2024-11-17 22:40:00" and "ord" not in one.evidence[0].asDict()
     s = report.evidence_summary(findings, evidence).first()
     assert s.source == "log" and s.evidence_events == evidence.count()
 
@@ -144,7 +144,7 @@ def test_write(spark, case, tmp_path, fmt):
     findings, evidence = case
     report.write_report(findings, evidence, str(tmp_path), fmt)
     back = spark.read.format(fmt).option("header", True).load(str(tmp_path / "findings"))
-    assert back.count() == 10
+    assert back.count() == 12
     assert spark.read.format(fmt).option("header", True).load(str(tmp_path / "evidence")).count() == evidence.count()
 
 

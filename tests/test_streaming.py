@@ -25,13 +25,13 @@ def close(rows, hours=100):
 
 def test_parse_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for i in range(3):
+    for i in range(4):
         (tmp_path / "in" / f"{i}.log").write_text("\n".join(AUTH_LOG[i * 10:(i + 1) * 10]))
     lines = jobs.read_line_stream(spark, str(tmp_path / "in"), maxFilesPerTrigger=1)
     got = jobs.drain(parse_syslog(lines, 2024), str(tmp_path / "out"))
     want = parse_syslog(lines_frame(spark, AUTH_LOG), 2024)
     pick = lambda df: sorted(df.select("event_type", "ts", "user", "ip", "raw").collect(), key=str)
-    assert pick(got) == pick(want) and len(pick(got)) == 26
+    assert pick(got) == pick(want) and len(pick(got)) == 32
 
 
 def test_candidates_miss_nothing(spark, tmp_path):
@@ -60,7 +60,7 @@ def test_candidates_miss_nothing(spark, tmp_path):
     assert {r.ip for r in users.collect()} >= {ip for ip, _ in exact}
     sprays = jobs.drain(jobs.password_spray_candidates(timed, params, "1 hour", 300), str(tmp_path / "c"))
     assert sprays.filter("events < 3").count() == 0
-    assert jobs.confirm(sprays, stored, params, distinct=True, window_sec=1200, least=4).count() > 0
+    assert jobs.confirm(sprays, stored, params, window_sec=1200, least=4, detector="password_spray").count() > 0
     assert jobs.drain(untimed, str(tmp_path / "d")).count() == 9
 
 
@@ -98,3 +98,14 @@ def test_drain_goes_on(spark, tmp_path):
     assert jobs.drain(jobs.login_findings(stream), out).count() == 1
     events_frame(spark, [event(2, "auth_success", sec=9)]).write.parquet(f"{tmp_path}/in/later")
     assert jobs.drain(jobs.login_findings(stream), out).count() == 2
+
+
+def test_confirm_looks_at_the_rows_of_its_detector(spark):
+    rows = [event(i, sec=10 * i, ip="a", message="Invalid user x") for i in range(6)]
+    rows += [event(50 + i, sec=5 * i, ip="a", user=None, message="Failed password") for i in range(14)]
+    stored = events_frame(spark, rows)
+    stretch = spark.createDataFrame(
+        [("a", T0 - timedelta(seconds=60), T0 + timedelta(seconds=1800))], "ip string, window_start timestamp, window_end timestamp")
+    peak = lambda **k: [r.peak for r in jobs.confirm(stretch, stored, **k).collect()]
+    assert peak() == [20] and peak(detector="enumeration") == [6]
+    assert peak(detector="password_spray", least=1) == [1]

@@ -189,7 +189,7 @@ f_{tag} AS (SELECT *, {frank} AS finding_rank, '{rule}' AS rule_id,
         "enum", "probing", bw, enum, "enumeration", 30, fixed.ENUMERATION_TEXT, 2 * enum, 10, False)
     command = "CASE WHEN contains(message, 'COMMAND=') THEN trim(substr(message, strpos(message, 'COMMAND=') + 8)) ELSE '' END"
     names = "n_users"
-    all_users = listing("users", names, 100)
+    all_users = listing("users", names, 2_147_483_647)
     items = "coalesce(items, [])"
     by = {
         "high_risk_sudo": (40, fixed.HIGH_RISK_SUDO_TEXT, "'CRITICAL'", "HIGH"),
@@ -201,7 +201,7 @@ f_{tag} AS (SELECT *, {frank} AS finding_rank, '{rule}' AS rule_id,
     }
     values = dict(
         users=all_users, count="event_count", user="users[1]",
-        commands=listing(items, "event_count", 5, "; "), names=listing(items, "n_named", 100),
+        commands=listing(items, "event_count", 5, "; "), names=listing(items, "n_named", 2_147_483_647),
         target=f"CASE WHEN list_contains(users, 'root') THEN 'root' ELSE {all_users} END",
         root_note=f"CASE WHEN list_contains(users, 'root') THEN {lit(fixed.SU_TEXT['root_note'])} ELSE '' END",
     )
@@ -525,12 +525,13 @@ _SPLIT_IPS = "(SELECT DISTINCT '10.0.' || (n_nationkey % 4) || '.' || n_nationke
 _SPLIT_USERS = "(SELECT DISTINCT 'u' || (s_suppkey % 11) AS v FROM supplier)"
 
 
-def _split_reason(ips: str, users: str, reason_ips: str, reason_users: str) -> str:
-    return f"""SELECT finding_id, CASE WHEN {ips} THEN {reason_ips} WHEN {users} THEN {reason_users} ELSE 'kept' END AS reason FROM findings"""
+def _split_reason(ips: str, users: str, reason_ips: str, reason_users: str, rows: str = "findings") -> str:
+    return f"""SELECT finding_id, CASE WHEN {ips} THEN {reason_ips} WHEN {users} THEN {reason_users} ELSE 'kept' END AS reason FROM {rows}"""
 
 
 def _listed(values: str, kind: str) -> str:
-    return f"""{kind}_out AS (SELECT DISTINCT finding_id FROM evidence WHERE "{kind}" <> '' AND "{kind}" NOT IN (SELECT v FROM {values}))"""
+    return f"""{kind}_out AS MATERIALIZED (SELECT DISTINCT finding_id, true AS {kind}_outside
+  FROM (SELECT DISTINCT finding_id, "{kind}" AS v FROM evidence WHERE "{kind}" <> '') ANTI JOIN {values} USING (v))"""
 
 
 _failed = "SELECT ts, \"user\" FROM ev WHERE event_type = 'sudo' AND ts IS NOT NULL AND contains(lower(message), 'authentication failure') AND \"user\" <> 'u2'"
@@ -541,7 +542,7 @@ ORACLES: dict[str, str] = {
   unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS value FROM documents), {parsed()}
 SELECT event_id, event_type, severity, count(*) AS lines, sum(length(message))::BIGINT AS chars FROM ev GROUP BY ALL""",
     "cef_parse": CEF, "leef_parse": LEEF, "json_parse": JSON,
-    "json_document_parse": f"""WITH {base()} SELECT event_id // 50 AS event_id, event_type AS message, "user", ip,
+    "json_document_parse": f"""WITH {base()} SELECT 1::BIGINT AS rows_of_id, event_type AS message, "user", ip,
   event_id::VARCHAR AS pid, row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS line_number FROM base""",
     "csv_parse": _CUSTOMER, "windows_parse": WINDOWS,
     "reclassified": """SELECT 'auth_success' AS event_type, 'INFO' AS severity, role AS "user", '10.1.1.1' AS ip,
@@ -582,9 +583,9 @@ SELECT event_id, event_type, severity, count(*) AS lines, sum(length(message))::
         "'all source IPs allowlisted: ' || array_to_string(ips, ', ')",
         "'all targeted users allowlisted: ' || array_to_string(users, ', ')"),
     "allowlist_table": case() + f", {_listed(_SPLIT_IPS, 'ip')}, {_listed(_SPLIT_USERS, 'user')} " + _split_reason(
-        "n_source_ips > 0 AND finding_id NOT IN (SELECT finding_id FROM ip_out)",
-        "n_users > 0 AND finding_id NOT IN (SELECT finding_id FROM user_out)",
-        "'all source IPs allowlisted'", "'all targeted users allowlisted'"),
+        "n_source_ips > 0 AND ip_outside IS NULL", "n_users > 0 AND user_outside IS NULL",
+        "'all source IPs allowlisted'", "'all targeted users allowlisted'",
+        "findings LEFT JOIN ip_out USING (finding_id) LEFT JOIN user_out USING (finding_id)"),
     "geo_enrich": f"""{events_ctes()}, {_RANGE} SELECT event_id, ip, substr(n_name, 1, 2) AS country, n_name AS country_name,
   lower(n_name) AS city, n::DOUBLE AS latitude, (-n)::DOUBLE AS longitude, (n + 64512)::INTEGER AS asn,
   'net ' || n_name AS asn_org FROM addr LEFT JOIN r ON num BETWEEN s AND s + 2""",
@@ -593,7 +594,7 @@ SELECT event_id, event_type, severity, count(*) AS lines, sum(length(message))::
 u AS (SELECT rule_id || '|' || ids AS finding_id, unnest(base) AS member, generate_subscripts(base, 1) AS pos FROM chains),
 v AS (SELECT u.finding_id, e.event_id, row_number() OVER (PARTITION BY u.finding_id ORDER BY pos, ts NULLS LAST, event_id) AS nr
   FROM u JOIN evidence e ON e.finding_id = u.member)
-SELECT finding_id, count(*) AS events, sum(event_id)::BIGINT AS id_sum FROM v WHERE nr <= 500 GROUP BY finding_id""",
+SELECT finding_id, count(*) AS events, sum(event_id)::BIGINT AS id_sum FROM v GROUP BY finding_id""",
     "correlate_own_rules": own_rules(),
     "correlate_keyed": keyed(),
     "severity_filter": case() + f"SELECT finding_id, severity FROM findings WHERE {rank('severity', fixed.FILTER_RANK)} <= 2",
@@ -612,13 +613,13 @@ SELECT finding_id, count(*) AS events, sum(event_id)::BIGINT AS id_sum FROM v WH
   UNION ALL SELECT DISTINCT 'user', "user" FROM evidence WHERE "user" IS NOT NULL""",
     "report_timeline": case() + f""", tl AS (SELECT first_seen AS ts, 'finding' AS kind, severity,
     coalesce(ips[1], users[1], 'unknown') AS actor, title AS action, description AS detail, rule_id AS source,
-    substr(description, 1, 120) AS key, {rank('severity', fixed.REPORT_RANK)} AS place, finding_rank AS event_id, finding_id FROM findings
+    description AS key, {rank('severity', fixed.REPORT_RANK)} AS place, finding_rank AS event_id, finding_id FROM findings
   UNION ALL SELECT ts, 'event', severity, coalesce(ip, "user", nullif(host, ''), 'unknown'), event_type, message, source,
     raw, 10, event_id, finding_id FROM evidence)
-SELECT ts, kind, severity, actor, action, substr(detail, 1, 200) AS detail, source FROM tl
+SELECT ts, kind, severity, actor, action, detail, source FROM tl
 QUALIFY row_number() OVER (PARTITION BY ts, kind, source, key ORDER BY place, event_id, finding_id) = 1""",
     "report_actions": case() + f""", a AS (SELECT * FROM findings
-  QUALIFY row_number() OVER (PARTITION BY substr(recommendation, 1, 60) ORDER BY {ORDER}) = 1)
+  QUALIFY row_number() OVER (PARTITION BY recommendation ORDER BY {ORDER}) = 1)
 SELECT row_number() OVER (ORDER BY {ORDER}) AS nr, severity, recommendation, finding_id FROM a""",
     "report_evidence_summary": case() + "SELECT source, count(*) AS evidence_events FROM evidence GROUP BY source",
     "report_evidence_lines": case() + f"""SELECT f.finding_id, f.title, f.severity, e.raw FROM evidence e JOIN findings f USING (finding_id)
@@ -627,7 +628,7 @@ SELECT row_number() OVER (ORDER BY {ORDER}) AS nr, severity, recommendation, fin
   WINDOW w AS (PARTITION BY finding_id ORDER BY ts NULLS LAST, event_id) QUALIFY ord <= 10""",
     "report_export": case() + """, o AS (SELECT finding_id, message, row_number() OVER (PARTITION BY finding_id
   ORDER BY ts NULLS LAST, event_id) AS ord FROM evidence),
-n AS (SELECT finding_id, count(*) FILTER (ord <= 100) AS evidence_rows, max(message) FILTER (ord = 1) AS first_message FROM o GROUP BY finding_id)
+n AS (SELECT finding_id, count(*) AS evidence_rows, max(message) FILTER (ord = 1) AS first_message FROM o GROUP BY finding_id)
 SELECT finding_id, strftime(make_timestamp(first_seen), '%Y-%m-%d %H:%M:%S') AS first_seen, event_count,
   false AS is_correlated, evidence_rows, first_message FROM findings JOIN n USING (finding_id)""",
     "stream_parse": f"{events_ctes()} SELECT {EVENT_VIEW} FROM ev",

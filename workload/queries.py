@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from palisade import Params, detect
 from palisade.operators import report
@@ -122,7 +123,7 @@ def json_document_parse(spark, sf):
         F.lit("["), F.array_join(F.array_sort(F.collect_list("item"))["j"], ",\n"), F.lit(", 7]")
     ).alias("value"))
     return parse_json_documents(documents).select(
-        "event_id", "message", "user", "ip", "pid",
+        F.count("*").over(W.partitionBy("event_id")).alias("rows_of_id"), "message", "user", "ip", "pid",
         F.col("metadata")["line_number"].cast("bigint").alias("line_number"),
     )
 
@@ -395,7 +396,7 @@ def report_names(spark, sf):
 
 
 def report_timeline(spark, sf):
-    return _micros(report.timeline(*_case(spark, sf), detail_chars=200), "ts")
+    return _micros(report.timeline(*_case(spark, sf)), "ts")
 
 
 def report_actions(spark, sf):
@@ -415,7 +416,7 @@ def report_capped_evidence(spark, sf):
 
 
 def report_export(spark, sf):
-    rows = report.export_rows(*_case(spark, sf), cap=100)
+    rows = report.export_rows(*_case(spark, sf))
     return rows.select(
         "finding_id", "first_seen", "event_count", "is_correlated",
         F.size("evidence").cast("bigint").alias("evidence_rows"),
