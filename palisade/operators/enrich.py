@@ -90,7 +90,14 @@ def enrich_geo(
         for t, layout in ((city, CITY_COLUMNS), (asn, ASN_COLUMNS)) for n, k in layout.items()
     ]
     lookup = known.select("ip", F.struct(*fields).alias("geoip"))
-    return events.join(lookup, "ip", "left").select(*events.columns, "geoip")
+    # events without an address aren't joined: they would all meet under one key
+    found = events.filter(F.col("ip").isNotNull()).join(lookup, "ip", "left").select(
+        *events.columns, "geoip"
+    )
+    nothing = F.lit(None).cast(found.schema["geoip"].dataType).alias("geoip")
+    return found.unionByName(
+        events.filter(F.col("ip").isNull()).select(*events.columns, nothing)
+    )
 
 
 def enrich(events: DataFrame, *enrichers: Enricher) -> DataFrame:

@@ -589,6 +589,21 @@ SELECT event_id, event_type, severity, count(*) AS lines, sum(length(message))::
     "geo_enrich": f"""{events_ctes()}, {_RANGE} SELECT event_id, ip, substr(n_name, 1, 2) AS country, n_name AS country_name,
   lower(n_name) AS city, n::DOUBLE AS latitude, (-n)::DOUBLE AS longitude, (n + 64512)::INTEGER AS asn,
   'net ' || n_name AS asn_org FROM addr LEFT JOIN r ON num BETWEEN s AND s + 2""",
+    "own_detector": case() + finding_view(
+        "rule_id = 'enumeration' OR (rule_id = 'auth_success' AND users[1] = 'u1')"),
+    "own_enricher": f"""{events_ctes()}, {_RANGE}, x AS (SELECT ip, n_name, host
+  FROM addr LEFT JOIN r ON num BETWEEN s AND s + 2)
+SELECT concat_ws('/', substr(n_name, 1, 2), host) AS place, count(*) AS events, count(ip) AS with_address FROM x GROUP BY place""",
+    "correlation_off": case() + "SELECT rule_id, false AS is_correlated, count(*) AS findings FROM findings GROUP BY rule_id",
+    "report_written": case() + """, m AS (
+  SELECT DISTINCT finding_id, 'ip' AS kind, ip AS value FROM evidence WHERE ip <> ''
+  UNION ALL SELECT DISTINCT finding_id, 'user', "user" FROM evidence WHERE "user" <> '')
+SELECT 'findings' AS name, count(*) AS row_count FROM findings UNION ALL SELECT 'export', count(*) FROM findings
+UNION ALL SELECT 'evidence', count(*) FROM evidence
+UNION ALL SELECT 'actions', count(DISTINCT recommendation) FROM findings
+UNION ALL SELECT 'timeline', (SELECT count(*) FROM (SELECT DISTINCT first_seen, rule_id, description FROM findings))
+  + (SELECT count(*) FROM (SELECT DISTINCT ts, source, raw FROM evidence))
+UNION ALL SELECT 'members ' || kind, count(*) FROM m GROUP BY kind""",
     "correlate_reference": f"{case(q.DAILY, True)}, {reference_chains(q.DAILY)} {chain_view()}",
     "correlate_evidence": f"""{case(q.DAILY, True)}, {reference_chains(q.DAILY)},
 u AS (SELECT rule_id || '|' || ids AS finding_id, unnest(base) AS member, generate_subscripts(base, 1) AS pos FROM chains),

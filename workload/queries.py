@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from palisade.operators.accounts import auth_success, priv_esc
 from palisade.operators.allow import split_allowlist
 from palisade.operators.correlate import BUILT_IN_RULES, SequenceRule, correlate
 from palisade.operators.detection import Detection
-from palisade.operators.enrich import enrich_geo
+from palisade.operators.enrich import enrich, enrich_geo
 from palisade.operators.filters import (
     at_least, event_columns, filter_events, flat_findings, without_info,
 )
@@ -314,6 +315,48 @@ def geo_enrich(spark, sf):
     )
 
 
+def own_detector(spark, sf):
+    """A detector a user states, beside a built-in one: logins of one account."""
+    def first_account(events, params):
+        return auth_success(events.filter(F.col("user") == "u1"), params)
+
+    found = detect(
+        adapter.stored_events(spark, sf), WIDE, rules=["enumeration", "first_account"],
+        detectors={"first_account": first_account},
+    )
+    return _finding_view(found.findings)
+
+
+def own_enricher(spark, sf):
+    """Two enrichers one after another, the second reading what the first gave."""
+    table = adapter.ranges(spark, sf)
+    got = enrich(
+        adapter.log_events(spark, sf), lambda e: enrich_geo(e, table, None),
+        lambda e: e.withColumn("place", F.concat_ws("/", "geoip.country", "host")),
+    )
+    return got.groupBy("place").agg(
+        F.count(F.lit(1)).alias("events"), F.count("geoip").alias("with_address"))
+
+
+def correlation_off(spark, sf):
+    """Without correlate there are no chains among the findings of a case."""
+    return _case(spark, sf)[0].groupBy("rule_id", "is_correlated").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def report_written(spark, sf):
+    """The tables of a written report, read again: rows of each, and of the members the kinds."""
+    folder = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    report.write_report(*_case(spark, sf), folder)
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    rows = [
+        read(n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("row_count"))
+        for n in ("findings", "evidence", "timeline", "actions", "export")
+    ]
+    rows.append(read("members").groupBy(F.concat(F.lit("members "), "kind").alias("name")).agg(
+        F.count(F.lit(1)).alias("row_count")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # -------------------------------------------------------------- correlation
 def _found(spark, sf, per_user=False) -> Detection:
     params = DAILY if not per_user else Params(
@@ -516,6 +559,8 @@ QUERIES: dict[str, Query] = {
     "detect_all": detect_all, "detect_one_rule": detect_one_rule,
     "allowlist_events": allowlist_events, "allowlist_findings": allowlist_findings,
     "allowlist_table": allowlist_table, "geo_enrich": geo_enrich,
+    "own_detector": own_detector, "own_enricher": own_enricher,
+    "correlation_off": correlation_off, "report_written": report_written,
     "correlate_reference": correlate_reference, "correlate_evidence": correlate_evidence,
     "correlate_own_rules": correlate_own_rules, "correlate_keyed": correlate_keyed,
     "severity_filter": severity_filter, "info_hidden": info_hidden,
