@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import cut, doc_key, small_side
+from palisade.plans.storage import stored
 
 # fixed values: between words, and a word before A-Z are lower-cased
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,8 +60,8 @@ def windows(items: DataFrame, length: int = 10) -> DataFrame:
 
 
 def rarest_terms(docs: DataFrame, phrases: DataFrame, lists: int = 2) -> DataFrame:
-    """window_id, phrase, term, offset, lists: of each window that all its terms
-    allow, the entries with the fewest postings."""
+    """window_id, phrase, term, offset, nth, lists: of each window that all its terms
+    allow, the `lists` entries with the fewest postings."""
     entries = phrases.select("window_id", "phrase", F.posexplode("phrase").alias("offset", "term"))
     vocabulary = small_side(entries.select("term").distinct())
     counts = (
@@ -73,13 +74,13 @@ def rarest_terms(docs: DataFrame, phrases: DataFrame, lists: int = 2) -> DataFra
         .withColumn("nth", F.row_number().over(rank))
         .withColumn("rarest", F.min(F.coalesce("postings", F.lit(0))).over(Window.partitionBy("window_id")))
         .where((F.col("nth") <= lists) & (F.col("rarest") > 0))
-        .select("window_id", "phrase", "term", "offset",
+        .select("window_id", "phrase", "term", "offset", "nth",
                 F.least(F.size("phrase"), F.lit(lists)).alias("lists"))
     )
 
 
 def postings(docs: DataFrame, terms: DataFrame, length: int = 10) -> DataFrame:
-    """The index: term, key, pos, around (the words that a window over pos can
+    """The index, a row per posting (equal rows of docs repeat theirs): term, key, pos, around (the words that a window over pos can
     need) and left (how many of them stand before it)."""
     side = length - 1
     chunk = F.transform(
@@ -98,7 +99,6 @@ def postings(docs: DataFrame, terms: DataFrame, length: int = 10) -> DataFrame:
         .join(small_side(terms.select("term").distinct()), "term")
         .select("term", "key", (F.col("c.s") + F.col("p") - lead).alias("pos"), left.alias("left"),
                 F.slice("c.words", F.col("p") - left + 1, left + length).alias("around"))
-        .distinct()
     )
 
 
@@ -108,7 +108,7 @@ def _adjusted(index: DataFrame, rarest: DataFrame) -> DataFrame:
     here = F.slice("around", F.greatest(at, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")
     return (
         index.join(small_side(rarest), "term").where("pos >= offset")
-        .select("window_id", "key", (F.col("pos") - F.col("offset")).alias("start"), "offset",
+        .select("window_id", "key", (F.col("pos") - F.col("offset")).alias("start"), "offset", "nth",
                 "lists", (here & (at >= 0)).alias("whole"), F.size("phrase").alias("length"))
     )
 
@@ -117,8 +117,8 @@ def phrase_matches(index: DataFrame, rarest: DataFrame) -> DataFrame:
     """window_id, key, start, length of every exact occurrence."""
     return (
         _adjusted(index, rarest).groupBy("window_id", "key", "start", "lists", "length")
-        .agg(F.count("*").alias("met"), F.max("whole").alias("whole"))
-        .where("met = lists and whole").select("window_id", "key", "start", "length")
+        .agg(F.bit_or(F.expr("shiftleft(1, nth - 1)")).alias("met"), F.max("whole").alias("whole"))
+        .where("met = shiftleft(1, lists) - 1 and whole").select("window_id", "key", "start", "length")
     )
 
 
@@ -142,7 +142,7 @@ def hits(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
     """key, n_hit, items (sorted ids) of every document that holds a window."""
     asked = cut(windows(items, length))
     rarest = cut(rarest_terms(docs, asked.select("window_id", "phrase").distinct()))
-    index = cut(postings(docs, rarest, length))
+    index = stored(postings(docs, rarest, length))
     found = cut(phrase_matches(index, rarest))
     n_hit = (
         found.select("key", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos"))
