@@ -83,7 +83,8 @@ def _candidates(toxic: DataFrame, least: int, most: int) -> tuple[dict[str, tupl
         for batch in batches:
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 found = Counter(s for t in set(TOKEN.findall((text or "").lower())) for s in _stems(t[:64]))
-                yield pd.DataFrame({"term": list(found), "key": key, "words": list(found.values())})
+                if found:  # a frame without rows has no column types
+                    yield pd.DataFrame({"term": list(found), "key": key, "words": list(found.values())})
 
     terms = cut(toxic.mapInPandas(run, "term string, key long, words long")
                 .groupBy("term").agg(F.sum("words").alias("words"), F.collect_list("key").alias("keys")))
@@ -99,7 +100,8 @@ def _others(other: DataFrame, terms: frozenset[str]) -> dict[str, int]:
             seen: Counter = Counter()
             for text in batch["text"]:
                 seen.update({s for t in set(TOKEN.findall((text or "").lower())) for s in _stems(t[:64])} & terms)
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
     rows = other.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     return {r["term"]: r["n"] for r in rows}
@@ -265,7 +267,8 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Scorer:
             seen: Counter = Counter()
             for text in batch["text"]:
                 seen.update({term for term, _, edits in first.hits((text or "").lower()).values() if edits})
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
     # terms whose neighbours are ordinary words allow no edit
     ordinary = (other.mapInPandas(misspelled, "term string, n long")
