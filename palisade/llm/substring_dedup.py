@@ -14,7 +14,8 @@ document with a smaller id.
    many documents).  In a shard, windows of two or more documents are confirmed word by word and
    compiled into an automaton over word numbers, which then reads all stretches of the shard and
    reports every occurrence with the least document id of its window.
-4. Removal.  Occurrences go back to their documents; only texts with a stretch are shuffled.
+4. Removal.  Occurrences go back to their documents; a bitmap of the documents that lose words spares
+   the shuffle of the other texts.
 
 Edge cases: null texts and texts shorter than a window lose nothing; a row with a null id loses nothing
 and takes nothing from others; rows that repeat an id are one document; an empty table gives an empty
@@ -39,6 +40,7 @@ from palisade.llm.common import cut, doc_key, slots
 from palisade.plans.storage import shared_folder
 
 GRAM = 5
+MOST_BITS = 29  # of a bitmap that is sent to all tasks: 64 MB
 PIECE = 8192  # windows hashed at a time
 LONGEST_STRETCH = 64  # windows
 WIDE = 5_000  # documents of an anchor from which on its windows are dealt one by one
@@ -129,8 +131,18 @@ def document_anchors(docs: DataFrame, length: int) -> DataFrame:
         run, "anchor long, doc_id long, key long")
 
 
+def _bits_for(count: int) -> int:
+    """Logarithm of the size of a bitmap with few false hits for so many values."""
+    return max(16, int(np.ceil(np.log2(max(1, count) * 16))))
+
+
+def _in_bitmap(bitmap: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    slot = values & np.uint64((1 << bits) - 1)
+    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _bitmap(recurring: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits bits of the anchors, gathered as packed segments."""
+    """A bitmap of 2 ** bits bits of the column anchor, gathered as packed segments."""
     segment = min(bits, 19)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,11 +161,10 @@ def _bitmap(recurring: DataFrame, bits: int) -> np.ndarray:
 
 
 def stretches(
-    docs: DataFrame, length: int, texts: bool, most_bits: int = 29, most_wide: int = 50_000,
+    docs: DataFrame, length: int, most_bits: int = MOST_BITS, most_wide: int = 50_000,
 ) -> tuple[DataFrame, int]:
-    """doc_id, key, n_words, digest, text (null without a stretch, unless texts), found: the
-    stretches (start, anchor or 0, id, words) of every row of docs; and how many
-    anchors recur."""
+    """doc_id, key, n_words, digest, found: the stretches (start, anchor or 0, id, words) of
+    every row of docs; and how many anchors recur."""
     every = document_anchors(docs, length)
     counted = every.groupBy("anchor").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
@@ -163,7 +174,7 @@ def stretches(
     # anchors of so many documents that their stretches are dealt by text: at most most_wide
     many = max(WIDE, rows // most_wide)
     wide = np.sort(np.array([r["anchor"] for r in recurring.where(F.col("n") > many).select("anchor").collect()], np.int64))
-    bits = max(16, int(np.ceil(np.log2(max(1, count) * 16))))
+    bits = _bits_for(count)
     session = docs.sparkSession.sparkContext
     if bits <= most_bits:
         shared = session.broadcast((_bitmap(recurring, bits), bits))
@@ -184,8 +195,7 @@ def stretches(
                 found = []
                 for at, h in anchors.pieces(parts) if doc_id is not None else ():
                     if bitmap is not None:
-                        slot = h & np.uint64((1 << bits) - 1)
-                        may = bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+                        may = _in_bitmap(bitmap, bits, h)
                     else:
                         may = np.isin(h.view(np.int64), np.asarray([] if own is None else own, np.int64))
                     if not may.any():
@@ -204,15 +214,14 @@ def stretches(
                                 "id": xxhash.xxh64_intdigest(words) - (1 << 63),
                                 "words": words.decode("utf-8", "surrogatepass")})
                 whole = b" ".join(parts)
-                out.append((doc_id, key, len(parts), hashlib.sha256(whole).hexdigest(),
-                            text if found or texts else None, found))
+                out.append((doc_id, key, len(parts), hashlib.sha256(whole).hexdigest(), found))
                 if len(out) >= 500:
-                    yield pd.DataFrame(out, columns=["doc_id", "key", "n_words", "digest", "text", "found"])
+                    yield pd.DataFrame(out, columns=["doc_id", "key", "n_words", "digest", "found"])
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "key", "n_words", "digest", "text", "found"])
+                yield pd.DataFrame(out, columns=["doc_id", "key", "n_words", "digest", "found"])
 
-    schema = ("doc_id string, key long, n_words long, digest string, text string, "
+    schema = ("doc_id string, key long, n_words long, digest string, "
               "found array<struct<start:int,anchor:long,id:long,words:string>>")
     path = f"{shared_folder(docs.sparkSession).rstrip('/')}/stretches-{uuid.uuid4().hex}"
     rows_in.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long")).write.option(
@@ -268,11 +277,27 @@ def repeated_starts(table: DataFrame, anchors: int, length: int, per_shard: int
     )
 
 
+def _may_change(docs: DataFrame, starts: DataFrame) -> DataFrame:
+    """doc_id, key, text of the documents that lose words, and of few others: a bitmap of
+    their keys spares the shuffle of the other texts.  A fuller bitmap spares less."""
+    keys = starts.select(F.col("key").alias("anchor"))
+    bits = min(MOST_BITS, _bits_for(keys.count()))
+    shared = docs.sparkSession.sparkContext.broadcast((_bitmap(keys, bits), bits))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            may = _in_bitmap(*shared.value, batch["key"].to_numpy(np.int64).view(np.uint64))
+            if may.any():  # a frame without rows has no column types
+                yield batch[may]
+
+    return _narrow(docs).mapInPandas(run, "doc_id string, key long, text string")
+
+
 def without_repeats(docs: DataFrame, length: int = 13, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if texts, kept_text (words joined by
     one space) for every row of docs."""
-    table, anchors = stretches(docs, length, texts)
-    starts = repeated_starts(table, anchors, length)
+    table, anchors = stretches(docs, length)
+    starts = cut(repeated_starts(table, anchors, length))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -294,10 +319,13 @@ def without_repeats(docs: DataFrame, length: int = 13, texts: bool = True) -> Da
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     schema = "doc_id string, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    some = table.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "key", "text")
-    changed = some.join(starts, "key", "left").select("doc_id", "text", "starts").mapInPandas(run, schema)
-    same = table.where("text is null").select(
-        F.col("doc_id").cast("string").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"),
-        F.col("digest").alias("kept_sha256"), F.lit("" if texts else None).cast("string").alias("kept_text"))
-    whole = changed.unionAll(same).withColumn("doc_id", F.col("doc_id").cast("long"))
+    if texts:
+        whole = _narrow(docs).join(starts, "key", "left").select("doc_id", "text", "starts").mapInPandas(run, schema)
+    else:
+        changed = _may_change(docs, starts).join(starts, "key").select("doc_id", "text", "starts")
+        same = table.join(starts.select("key"), "key", "left_anti").select(
+            F.col("doc_id").cast("string").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"),
+            F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+        whole = changed.mapInPandas(run, schema).unionAll(same)
+    whole = whole.withColumn("doc_id", F.col("doc_id").cast("long"))
     return whole if texts else whole.drop("kept_text")

@@ -87,7 +87,7 @@ def test_repeats_against_brute_force(docs, rows, length, texts):
 def test_repeats_when_the_anchors_are_joined(monkeypatch, docs, rows):
     """The way taken beyond the bound of the bitmap, and anchors of very many documents."""
     defaults = substring_dedup.stretches.__defaults__
-    monkeypatch.setattr(substring_dedup.stretches, "__defaults__", (3, defaults[1]))
+    monkeypatch.setattr(substring_dedup.stretches, "__defaults__", (3, *defaults[1:]))
     monkeypatch.setattr(substring_dedup, "WIDE", 2)
     got = substring_dedup.without_repeats(docs, 13).collect()
     assert Counter(tuple(r) for r in got) == brute_repeats(rows, 13)
