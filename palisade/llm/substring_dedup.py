@@ -10,10 +10,10 @@ document with a smaller id.
 2. Stretches.  A second pass cuts every document into the stretches of windows with such an anchor.
    The anchors reach the tasks as a bitmap whose size is bounded; beyond the bound
    they are joined instead.  Equal stretches are combined before they meet.
-3. Automata.  Stretches are dealt into shards by anchor (by their own text where an anchor is of very
-   many documents).  In a shard, windows of two or more documents are confirmed word by word and
-   compiled into an automaton over word numbers, which then reads all stretches of the shard and
-   reports every occurrence with the least document id of its window.
+3. Automata.  Stretches are dealt into shards by anchor.  In a shard, windows of two or more documents
+   are confirmed word by word and compiled into an automaton over words, which then reads all
+   stretches of the shard and reports every occurrence with the least document id of its window.  Where an
+   anchor is of very many documents, its stretches are single windows, combined by their own text.
 4. Removal.  Occurrences go back to their documents; a bitmap of the documents that lose words spares
    the shuffle of the other texts.
 
@@ -43,7 +43,7 @@ GRAM = 5
 MOST_BITS = 29  # of a bitmap that is sent to all tasks: 64 MB
 PIECE = 8192  # windows hashed at a time
 LONGEST_STRETCH = 64  # windows
-WIDE = 5_000  # documents of an anchor from which on its windows are dealt one by one
+WIDE = 50_000  # documents of an anchor beyond which its windows are dealt one by one
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -229,29 +229,49 @@ def stretches(
     return docs.sparkSession.read.parquet(path), count
 
 
+class Symbols:
+    """Words as three characters each, the first from a range of its own, so automata have
+    narrow nodes and can't match across words."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, str] = {}
+
+    def _new(self, word: str) -> str:
+        n = len(self.numbers)
+        code = chr(0x4000 + n % 256) + chr(0x1000 + n // 256 % 256) + chr(0x1000 + n // 65536)
+        self.numbers[word] = code
+        return code
+
+    def coded(self, words: str) -> str:
+        known = self.numbers
+        return "".join([known.get(w) or self._new(w) for w in words.split(" ")])
+
+
 def occurrences(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     """Rows id, words, least, most of a shard -> id and, for each window of the stretch, the
     least document id if the window is of several documents, else null."""
-    numbers: dict[str, int] = {}
-    read = [tuple(numbers.setdefault(w, len(numbers)) for w in words.split(" ")) for words in shard["words"]]
-    ends: dict[tuple[int, ...], tuple[int, int]] = {}
+    symbols, size = Symbols(), 3 * length
+    read = [symbols.coded(words) for words in shard["words"]]
+    least_of, most_of = {}, {}
     for words, least, most in zip(read, shard["least"].tolist(), shard["most"].tolist(), strict=True):
-        for i in range(len(words) - length + 1):
-            window = words[i:i + length]
-            known = ends.get(window)
-            ends[window] = (least, most) if known is None else (min(known[0], least), max(known[1], most))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window, (least, most) in ends.items():
-        if least < most:
+        for i in range(0, len(words) - size + 1, 3):
+            window = words[i:i + size]
+            if least < least_of.get(window, least + 1):
+                least_of[window] = least
+            if most > most_of.get(window, most - 1):
+                most_of[window] = most
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+    for window, least in least_of.items():
+        if least < most_of[window]:
             automaton.add_word(window, least)
     if not len(automaton):
         return pd.DataFrame({"id": [], "firsts": []})
     automaton.make_automaton()
     ids, firsts = [], []
     for own, words in zip(shard["id"].tolist(), read, strict=True):
-        found: list[int | None] = [None] * (len(words) - length + 1)
+        found: list[int | None] = [None] * (len(words) // 3 - length + 1)
         for end, least in automaton.iter(words):
-            found[end - length + 1] = least
+            found[(end + 1 - size) // 3] = least
         if any(x is not None for x in found):
             ids.append(own)
             firsts.append(found)
@@ -262,12 +282,18 @@ def repeated_starts(table: DataFrame, anchors: int, length: int, per_shard: int
     """key, starts: the windows of a document that also start in an earlier one."""
     rows = table.select("doc_id", "key", F.explode("found").alias("f")).select("doc_id", "key", "f.*")
     shards = max(slots(table), -(-anchors // per_shard))
-    by_text = F.when(F.col("anchor") == 0, F.col("id")).otherwise(F.col("anchor"))
-    distinct = rows.groupBy("id", "anchor", "words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    ends = F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    # an anchor has at most WIDE documents here, so its stretches go to their shard as they are
+    dealt = rows.where("anchor != 0").select(
+        F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "id", "words", "doc_id")
     found = (
-        distinct.withColumn("shard", F.pmod(F.xxhash64(by_text), F.lit(shards)))
+        dealt.repartition(slots(table), "shard").groupBy("shard", "id", "words").agg(*ends)
         .groupBy("shard").applyInPandas(lambda shard: occurrences(shard, length), "id long, firsts array<long>")
     )
+    # windows of anchors with more documents are summed up one by one, on the map side first
+    single = (rows.where("anchor = 0").groupBy("id", "words").agg(*ends).where("least < most")
+              .select("id", F.array("least").alias("firsts")))
+    found = found.unionAll(single)
     earlier = F.filter(
         F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     return (
