@@ -110,7 +110,10 @@ def test_timeline_keys(spark):
         (None, "", "x" * 140, "")])]
     ev = events_frame(spark, rows).withColumn("finding_id", F.lit("f"))
     f = found_of(spark, [finding("r", None, (), (), fid="f")]).findings
-    got = report.timeline(f, ev.select("finding_id", *ev.columns[:-1])).collect()
+    ev = ev.select("finding_id", *ev.columns[:-1])
+    # whole texts tell events apart, unless only their beginnings are asked for
+    assert report.timeline(f, ev).count() == 5
+    got = report.timeline(f, ev, key_chars=120).collect()
     assert [(r.kind, r.actor, r.detail[:3]) for r in got] == [
         ("event", "h", "a"), ("event", "h", "a"), ("finding", "unknown", "d"), ("event", "unknown", "xxx")]
 
