@@ -267,11 +267,15 @@ def hex_digits(fp: str = "fp") -> Column:
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the least id, and of the rows
-    with this id the one with the least key; of equal rows one.  Columns stay as they
-    are.  Only keys are shuffled unless very many rows go."""
-    found = cut(near_copies(docs, shingle, bits).groupBy("component_id", "fp", "doc_id", "key")
-                .agg(F.count("*").alias("times")))
+    """docs with one row of each component."""
+    return one_of_each(docs, near_copies(docs, shingle, bits))
+
+
+def one_of_each(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """docs with one row of each component of copies (doc_id, key, fp, component_id): the one
+    with the least id, and of the rows with this id the one with the least key; of equal
+    rows one.  Columns stay as they are.  Only keys are shuffled unless very many rows go."""
+    found = cut(copies.groupBy("component_id", "fp", "doc_id", "key").agg(F.count("*").alias("times")))
     # a component without any id is told by its fingerprint: its texts all have null ids
     component = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     best = found.groupBy(component.alias("c")).agg(
