@@ -74,8 +74,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    weights = quality_rules.ngram_weights(docs, quality_rules.trusted_ids(_table(spark, sf_dir, "labels")))
-    return quality_rules.judged(docs.select("doc_id", "text"), weights).select(
+    rows = quality_rules.judged_by_grams(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return rows.select(
         "doc_id", *(F.col(f"`rules of row`.{c}").alias(c) for c in (
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
