@@ -6,8 +6,8 @@ table, is run over the trie, and a branch is left as soon as no entry of the row
 distance.  Terms of 5 letters or more allow one edit; a term whose misspellings
 turn up in documents that aren't toxic allows none.
 
-Context: a hit between quotation marks in a window of words, or after a word of
-reporting, counts less; an address ("you") in the window makes it count more.  Evidence of unquoted hits
+Context: a hit between an opening and its closing quotation mark on a line counts less, near a word of
+reporting less still; an address ("you") in the window makes it count more.  Evidence of unquoted hits
 adds up (noisy or), quoted hits only count as the strongest of them.
 
 The labelled rows are bounded (`rows`, by the order of a hash of the id); words are counted by
@@ -20,6 +20,7 @@ the lexicon is empty; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -34,7 +35,8 @@ from palisade.llm.common import cut
 
 TOKEN = re.compile(r"\w+")
 # fixed values: what opens and closes a quotation, reports, or addresses
-QUOTES = "\"“”„«»‘’"
+CLOSING = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«»", "‘": "’"}
+QUOTE = re.compile("[\"“”„«»‘’]")
 REPORTING = frozenset("said says wrote writes quoted quote called term word words".split())
 ADDRESS = frozenset("you your youre".split())
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
@@ -186,17 +188,37 @@ class Trie:
         return None if best is None else (best[2], -best[1], best[0])
 
 
-def _quoted(text: str, start: int, end: int, reach: int) -> bool:
-    """Whether marks of quotation open before and close after, on the same line."""
-    before, after = text[max(0, start - reach):start], text[end:end + reach]
-    before, after = before.rsplit("\n", 1)[-1], after.split("\n", 1)[0]
-    return any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+def _quotations(text: str) -> list[tuple[int, int]]:
+    """Begins and ends of the quotations of a text, in order: an opening mark and the next mark that closes it
+    on the same line.  Marks between letters are apostrophes, marks that nothing closes are left out."""
+    found, at, line_end, lost = [], 0, -1, set()
+    while mark := QUOTE.search(text, at):
+        at, own = mark.end(), mark.group()
+        if own not in CLOSING or _inside_word(text, mark.start()):
+            continue
+        if mark.start() >= line_end:
+            line_end, lost = text.find("\n", at), set()
+            line_end = len(text) if line_end < 0 else line_end
+        if own in lost:
+            continue
+        end = next((m.start() for m in QUOTE.finditer(text, at, line_end)
+                    if m.group() in CLOSING[own] and not _inside_word(text, m.start())), None)
+        if end is None:
+            lost.add(own)  # nor does anything close a later one
+        else:
+            found.append((mark.start(), end))
+            at = end + 1
+    return found
+
+
+def _inside_word(text: str, at: int) -> bool:
+    return text[at] in "‘’" and 0 < at < len(text) - 1 and text[at - 1].isalnum() and text[at + 1].isalnum()
 
 
 class Scorer:
     def __init__(self, weights: dict[str, float], base: float, exact_only: frozenset[str] = frozenset(),
-                 window: int = 6, reach: int = 60):
-        self.trie, self.base, self.window, self.reach = Trie(weights, exact_only), base, window, reach
+                 window: int = 6):
+        self.trie, self.base, self.window = Trie(weights, exact_only), base, window
         self.heads: dict[str, bool] = {}
         self.known: dict[str, tuple[str, float, int] | None] = {}
 
@@ -227,7 +249,7 @@ class Scorer:
         found = self.hits(lowered)
         if not found:
             return self.base, 0, 0, 0
-        marks = list(TOKEN.finditer(lowered))
+        marks, quotations = list(TOKEN.finditer(lowered)), _quotations(lowered)
         miss, strongest, n, wrong, quoted = 1 - self.base, 0.0, 0, 0, 0
         for i, mark in enumerate(marks):
             hit = found.get(mark.group())
@@ -239,7 +261,8 @@ class Scorer:
             if near & ADDRESS:
                 weight = min(0.99, weight * 1.1)
             n, wrong = n + 1, wrong + (edits > 0)
-            if _quoted(lowered, mark.start(), mark.end(), self.reach):
+            around = bisect.bisect(quotations, (mark.start(), 0)) - 1
+            if around >= 0 and mark.end() <= quotations[around][1]:
                 quoted += 1
                 strongest = max(strongest, weight * (0.3 if near & REPORTING else 0.45))
             else:
