@@ -9,6 +9,9 @@ that is no piece by itself may stand as an unknown one, 10 below the worst score
 it counts its UTF-8 bytes if the vocabulary has byte pieces, else adjacent unknown
 characters count as one.
 
+A BPE file's scores are ranks of merges, for which the recurrence gives counts of no tokenizer: `merged_counts`
+applies the merges of such a file, best rank first and leftmost among equals, to runs of marks and the word after them.
+
 Words repeat, so a task remembers their results, up to a fixed number of them.
 
 Edge cases: null and empty texts have no tokens; repeated rows get a row each; an empty
@@ -17,6 +20,8 @@ table gives an empty result; other columns are ignored.  Memory is bounded by th
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -118,3 +123,89 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(run, "doc_id string, n_tokens long, score double").withColumn(
         "doc_id", F.col("doc_id").cast("long"))
+
+
+UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
+class Merges:
+    """Scores and token counts under the merges of a BPE model: a text is written with a mark in front."""
+
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_pieces: bool, remembered: int = 400_000):
+        self.scores, self.byte_pieces, self.remembered = dict(vocabulary), byte_pieces, remembered
+        # no merge goes from a letter to a mark, unless a piece does
+        self.units = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores)
+        self.known: dict[str, tuple[float, int]] = {}
+
+    def unit(self, unit: str) -> tuple[float, int]:
+        found = self.known.get(unit)
+        if found is None:
+            if len(self.known) >= self.remembered:
+                self.known.clear()
+            found = self.known[unit] = self._merged(unit)
+        return found
+
+    def _merged(self, unit: str) -> tuple[float, int]:
+        if unit in self.scores and len(unit) == 1:
+            return self.scores[unit], 1
+        parts: list[str] = list(unit)  # a part that was merged into its left one is empty
+        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(left: int, right: int) -> None:
+            if left >= 0 and right >= 0:
+                both = parts[left] + parts[right]
+                score = self.scores.get(both)
+                if score is not None:
+                    heapq.heappush(heap, (-score, left, right, both))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while heap:
+            _, left, right, both = heapq.heappop(heap)
+            if not parts[left] or not parts[right] or parts[left] + parts[right] != both or after[left] != right:
+                continue
+            parts[left], parts[right] = both, ""
+            after[left] = after[right]
+            if after[right] >= 0:
+                before[after[right]] = left
+            offer(before[left], left)
+            offer(left, after[left])
+        score, count, unknown = 0.0, 0, False
+        for part in filter(None, parts):
+            own = self.scores.get(part)
+            if own is not None:
+                score, count = score + own, count + 1
+            else:
+                count += len(part.encode()) if self.byte_pieces else int(not unknown)
+            unknown = own is None
+        return score, count
+
+    def text(self, text: str | None) -> tuple[float, int]:
+        if not text:
+            return 0.0, 0
+        text = MARK + text.replace(" ", MARK)
+        score, count = 0.0, 0
+        for unit, times in Counter(UNIT.findall(text) if self.units else [text]).items():
+            s, n = self.unit(unit)
+            score += s * times
+            count += n * times
+        return score, count
+
+
+def merged_counts(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_tokens, score (sum over the tokens) for every row of docs, as the BPE model itself encodes."""
+    vocabulary, byte_pieces = pieces(model_path)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the file's size bounds it
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        merges = Merges(shared.value, byte_pieces)
+        for batch in batches:
+            results = [merges.text(x) for x in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "n_tokens": [n for _, n in results],
+                "score": [s for s, _ in results]})
+
+    narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInPandas(run, "doc_id string, n_tokens long, score double").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))
