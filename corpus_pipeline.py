@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontamination, mixing, quality_rules, sharding, shingle_sets
+from palisade.llm import decontamination, mixing, quality_rules, sharding, simhash
 from palisade.plans.storage import shared_folder
 
 SHARDS = 8
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
-    return shingle_sets.without_near_copies(docs)
+    """One document of each group of near copies (three-word shingles, fingerprints within 3 bits) stays."""
+    return simhash.without_near_copies(docs, shingle=3, bits=3)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
