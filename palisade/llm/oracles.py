@@ -1,7 +1,7 @@
 """The same results in SQL, by plain definitions: sorting, grouping and joining windows.
 
 op1, op2 and op5 rest on trained models or tokenizer files, op7 and op10 on a hash that
-DuckDB lacks; they are tested against brute force instead.
+DuckDB lacks, op12 on eigenvectors; they are tested against brute force instead.
 """
 
 from __future__ import annotations
@@ -129,10 +129,65 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 """
 
+_LOWER = f"translate(coalesce(text, ''), {_LETTERS})"
+
+OP11 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT rid, doc_id, list_sort(list_distinct(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS own FROM d),
+sets AS MATERIALIZED (
+  SELECT own, row_number() OVER () AS sid, len(own) AS n, min(doc_id) AS least FROM s WHERE len(own) > 0 GROUP BY own),
+tokens AS MATERIALIZED (SELECT sid, n, unnest(own) AS token FROM sets),
+links AS MATERIALIZED (
+  SELECT a.sid AS x, b.sid AS y FROM tokens a JOIN tokens b ON a.token = b.token AND a.sid <> b.sid
+  GROUP BY a.sid, b.sid, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT sid AS x, sid AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+class AS (SELECT x AS sid, min(least) AS component_id FROM reach JOIN sets ON reach.y = sets.sid GROUP BY x)
+SELECT s.doc_id, len(s.own)::BIGINT AS n_shingles, CASE WHEN len(s.own) = 0 THEN s.doc_id ELSE component_id END AS component_id
+FROM s LEFT JOIN sets USING (own) LEFT JOIN class USING (sid)
+"""
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+runs AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM w UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w UNION ALL
+  SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM runs GROUP BY ALL HAVING count(*) >= 10),
+size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, cut, string_split(phrase, ' ') AS p
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1)),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, h.f AS l, t.f AS r, (1000000 * c.a * c.a) // (h.f * t.f) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(p[:cut], ' ')
+  JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(p[cut + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase, a AS longer
+  FROM cuts WHERE k = 3),
+alone AS (
+  SELECT lowest.* FROM lowest LEFT JOIN (SELECT lang, phrase, max(longer) AS longer FROM longer GROUP BY ALL) x USING (lang, phrase)
+  WHERE longer IS NULL OR k = 3 OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+JOIN size USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op3_sharding": OP3,
     "op4_decontamination": OP4,
     "op6_mixing": OP6,
     "op8_url_filter": OP8,
     "op9_substring_dedup": OP9,
+    "op11_jaccard_join": OP11,
+    "op13_collocations": OP13,
 }

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import (
-    decontamination, factorisation, mixing, quality_rules, sharding, simhash, substring_dedup,
-    token_counts, toxicity, url_filter,
+    collocations, decontamination, factorisation, jaccard_groups, mixing, quality_rules, sharding, simhash,
+    substring_dedup, token_counts, toxicity, url_filter, whitening,
 )
 from palisade.llm.oracles import ORACLES
 
@@ -95,6 +95,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.classes(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_toxicity": op2_toxicity,
@@ -106,4 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
-}
\ No newline at end of file
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
+}
