@@ -121,7 +121,7 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_counts=True) if len(codes) else (codes, codes.astype(np.int64))
 
 
-def phrase_counts(run: Run, bitmap: np.ndarray, before: np.ndarray | None) -> pd.DataFrame:
+def phrase_counts(run: Run, bitmap: np.ndarray, before: np.ndarray | None) -> list[pd.DataFrame]:
     """The phrases of a run whose parts are in the bitmap, but not all in the one before."""
     a, names, hashes = run.words()
     v = np.uint64(len(names))
@@ -131,7 +131,8 @@ def phrase_counts(run: Run, bitmap: np.ndarray, before: np.ndarray | None) -> pd
     frames = []
 
     def give(k: int, phrases: list[str], f: np.ndarray, proposed) -> None:
-        frames.append(pd.DataFrame({"lang": run.lang, "k": np.int32(k), "phrase": phrases, "f": f, "proposed": proposed}))
+        if len(f):
+            frames.append(pd.DataFrame({"lang": run.lang, "k": np.int32(k), "phrase": phrases, "f": f, "proposed": proposed}))
 
     if before is None:  # all words are counted in the first pass, and their number
         f = np.bincount(a, minlength=n)
@@ -164,7 +165,7 @@ def phrase_counts(run: Run, bitmap: np.ndarray, before: np.ndarray | None) -> pd
         first, second = (rest // v).astype(np.int64), (rest % v).astype(np.int64)
         give(3, [f"{names[i]} {names[j]} {names[k]}" for i, j, k in zip(
             first.tolist(), second.tolist(), third.tolist(), strict=True)], f, True)
-    return pd.concat(frames)
+    return frames
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -232,7 +233,7 @@ def frequent(
 
         def run(batches: Iterator[pd.DataFrame], new=new, old=old) -> Iterator[pd.DataFrame]:
             for own in _runs(batches):
-                yield phrase_counts(own, new.value, old.value)
+                yield from phrase_counts(own, new.value, old.value)
 
         counts = texts.select("lang", "text").mapInPandas(run, COUNTS).groupBy("lang", "k", "phrase").agg(
             F.sum("f").alias("f"), F.max("proposed").alias("proposed"))

@@ -237,7 +237,9 @@ def _own_links(rows: pd.DataFrame, least_pct: int) -> tuple[list, list, int, int
 
 # ---- the join
 
-_ID = F.concat(F.lpad(F.hex("f1"), 16, "0"), F.lpad(F.hex("f2"), 16, "0"))
+def _id() -> Column:
+    return F.concat(F.lpad(F.hex("f1"), 16, "0"), F.lpad(F.hex("f2"), 16, "0"))
+
 
 
 def _parts(of: str, part: int) -> Column:
@@ -254,15 +256,16 @@ def _inside(members: DataFrame, sets: DataFrame, part: int, least_pct: int) -> D
     n = _buckets(members, "n", part)
     shared = small_side(members.groupBy("ord", "part").agg(F.count("*").alias("m")).where("m > 1").drop("m"))
     rows = members.join(shared, ["ord", "part"]).join(sets, ["f1", "f2"]).select(
-        "ord", "part", _ID.alias("id"), "tokens", F.pmod(F.xxhash64("ord", "part"), F.lit(n)).alias("bucket"))
+        "ord", "part", _id().alias("id"), "tokens", F.pmod(F.xxhash64("ord", "part"), F.lit(n)).alias("bucket"))
 
     def search(bucket: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for (place, number), own in bucket.groupby(["ord", "part"]):
             ids = own["id"].to_numpy()
             a, b, hub, most = _own_links(own, least_pct)
-            frames.append(pd.DataFrame({"a": [*ids[a], ids[hub]], "b": [*ids[b], None], "ord": place, "most": most}))
-        return pd.concat(frames)
+            frames.append((np.append(ids[a], ids[hub]), np.append(ids[b], None), np.full(len(a) + 1, place), np.full(len(a) + 1, most)))
+        return pd.DataFrame({name: pd.Series(np.concatenate(column), dtype=kind) for name, column, kind in zip(
+            ("a", "b", "ord", "most"), zip(*frames, strict=True), (object, object, "int64", "int64"), strict=True)})
 
     return rows.groupBy("bucket").applyInPandas(search, "a string, b string, ord long, most long")
 
@@ -280,7 +283,7 @@ def _between(asked: DataFrame, members: DataFrame, sets: DataFrame, part: int, l
     sides = stored(sides)
     bucket = F.pmod(F.xxhash64("ord", "part", "slice"), F.lit(_buckets(sides, "n", part))).alias("bucket")
     rows = sides.join(sets, ["f1", "f2"]).select(
-        _ID.alias("id"), "label", "ord", "part", "slice", "asked", "tokens", bucket)
+        _id().alias("id"), "label", "ord", "part", "slice", "asked", "tokens", bucket)
 
     def search(bucket: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -321,7 +324,7 @@ def linked_sets(narrow: DataFrame, own: DataFrame, levels: np.ndarray, shingle:
                        .where((F.col("tokens") > part) & (F.col("m") > 1)).select("ord", _parts("tokens", part).alias("parts")))
     members = stored(sets.join(heavy, "ord", "left").select(
         "f1", "f2", "n", "ord", F.coalesce(F.pmod(F.xxhash64("f1", "f2"), "parts").cast("int"), F.lit(0)).alias("part"),
-        F.col("parts").isNotNull().alias("split"), _ID.alias("id")))
+        F.col("parts").isNotNull().alias("split"), _id().alias("id")))
     rows = own.join(members.select("f1", "f2"), ["f1", "f2"]).groupBy("f1", "f2").agg(
         F.min(F.struct("k1", "k2")).alias("k")).select("f1", "f2", "k.k1", "k.k2")
     tokens = stored(_sets(narrow, small_side(rows), shingle))
@@ -359,7 +362,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least_pct: int = LEAST_PCT,
     labels = stored(linked_sets(narrow, own.where("n > 0"), levels, shingle, least_pct, part))
     # a set that met no other is a class of its own
     sets = own.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(labels, ["f1", "f2"], "left").select("f1", "f2", "least", F.coalesce("label", _ID).alias("label"))
+    sets = sets.join(labels, ["f1", "f2"], "left").select("f1", "f2", "least", F.coalesce("label", _id()).alias("label"))
     sets = stored(sets)
     ids = sets.groupBy("label").agg(F.min("least").alias("component_id"))
     known = sets.join(ids, "label").select("f1", "f2", "component_id")

@@ -224,7 +224,7 @@ def whitened(vectors: DataFrame, most: int = MOST, ident: str = "vec_id", vector
                 continue
             x = _matrix(batch["x"])
             yield pd.DataFrame({
-                "vec_id": batch["vec_id"].repeat(k), "component": np.tile(np.arange(1, k + 1, dtype=np.int32), len(x)),
+                "vec_id": batch["vec_id"].to_numpy(object).repeat(k), "component": np.tile(np.arange(1, k + 1, dtype=np.int32), len(x)),
                 "n": n, "deviation": pd.Series(deviations(x, n, sums), dtype="Int64").repeat(k).to_numpy(),
                 "whitened": ((x - mean) @ basis).ravel(), "explained": np.tile(explained, len(x)), "identity_error": error})
 
