@@ -200,7 +200,8 @@ def whitened(vectors: DataFrame, most: int = MOST, ident: str = "vec_id", vector
     rows = scaled(vectors, ident, vector)
     fit = stored(rows.select("x").distinct())
     n, width = fit.agg(F.count("*"), F.max(F.size("x"))).first()
-    width = width or 0
+    if not width:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("vec_id", F.col("vec_id").cast(kind))
 
     def filled(df: DataFrame) -> DataFrame:
         return df.withColumn("x", F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("x"))))

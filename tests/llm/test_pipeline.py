@@ -4,9 +4,10 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from test_grams import brute_grams
 from test_sharding_mixing import brute_taken, brute_targets
 from test_simhash import brute_components, brute_fingerprint
-from test_text_rules import WORD, brute_hits, brute_rules
+from test_text_rules import brute_hits, brute_rules
 
 from palisade.llm import mixing, quality_rules, queries
 
@@ -15,15 +16,20 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tabl
 
 
 def brute_quality(spark, docs, labels):
-    weights = quality_rules.ngram_weights(docs, quality_rules.trusted_ids(labels)) / quality_rules.SCALE
+    """Rows that pass the base rules and whose n-grams (runs of three characters, pairs of words) reach the threshold."""
+    weights = quality_rules.gram_weights(docs, quality_rules.trusted_ids(labels))
     rows = [tuple(r) for r in docs.collect()]
-    words = sorted({w for r in rows for w in WORD.findall(r[1] or "")})
-    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in words], "w string").select(
-        "w", F.pmod(F.xxhash64(F.right("w", F.lit(3))), F.lit(len(weights))).alias("b")).collect()}
+    every = {g for r in rows for g in brute_grams(r[1])}
+    one = spark.createDataFrame([(g,) for g in every if isinstance(g, str)], "g string").select(
+        "g", F.pmod(F.xxhash64("g"), F.lit(len(weights))).alias("b")).collect()
+    two = spark.createDataFrame([g for g in every if isinstance(g, tuple)], "x string, y string").select(
+        "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(len(weights))).alias("b")).collect()
+    bucket = {r["g"]: r["b"] for r in one} | {(r["x"], r["y"]): r["b"] for r in two}
+    least = round(quality_rules.GRAM_THRESHOLD * quality_rules.SCALE)
     kept = []
     for r in rows:
-        own = WORD.findall(r[1] or "")
-        if not brute_rules(r[1])[-1] and sum(weights[bucket[w]] for w in own) / len(own) >= -1:
+        own = brute_grams(r[1])
+        if not brute_rules(r[1])[-1] and sum(int(weights[bucket[g]]) for g in own) >= least * len(own):
             kept.append(r)
     return kept
 
