@@ -27,6 +27,8 @@ from palisade.llm.common import SPACE, words
 
 SYMBOL = r"[#*$%&|<>]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
+# at every character of a word: the run of three that begins there, or the whole of a shorter word
+GRAM = rf"(?=({NOT_SPACE}{{3}}|(?<!{NOT_SPACE}){NOT_SPACE}{{1,2}}(?!{NOT_SPACE}))){NOT_SPACE}"
 WINDOW = 8
 SCALE = 1 << 20
 # fixed value, from the labelled rows of sf0.001 to sf0.1 that pass the base rules: every good document
@@ -109,11 +111,13 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, al
         F.sum("raw").alias("raw"), F.sum("target").alias("target")), buckets, alpha)
 
 
-def _gram_total(w: Column, table: Column, buckets: int) -> tuple[Column, Column]:
-    """Sum of the weights of all n-grams of the words, and their number."""
+def _gram_total(text: Column, w: Column, table: Column, buckets: int) -> tuple[Column, Column]:
+    """Sum of the weights of all n-grams of the words of a text, and their number.  One pattern cuts
+    the runs of characters out of a line: no function call for each of them."""
     zero = F.lit(0).cast("long")
-    spelled = F.aggregate(w, zero, lambda acc, x: acc + F.aggregate(
-        _spelled(x), zero, lambda own, g: own + F.get(table, F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))))
+    spelled = F.aggregate(F.split(text, "\n"), zero, lambda acc, line: acc + F.aggregate(
+        F.regexp_extract_all(line, F.lit(GRAM), 1), zero,
+        lambda own, g: own + F.get(table, F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))))
     pairs = F.aggregate(_pair_buckets(w, buckets), zero, lambda acc, b: acc + F.get(table, b))
     number = F.aggregate(w, zero, lambda acc, x: acc + F.greatest(F.length(x) - 2, F.lit(1)))
     return spelled + pairs, number + F.greatest(F.size(w) - 1, F.lit(0))
@@ -140,7 +144,7 @@ def judged(
     step = step.select("row", words(text).alias("w"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
     if every_gram:
-        total, n_grams = _gram_total(F.col("w"), table, len(weights))
+        total, n_grams = _gram_total(text, F.col("w"), table, len(weights))
     else:
         n_grams = F.size("w").cast("long")
         total = F.aggregate(
