@@ -1,15 +1,15 @@
 """Join of texts by the Jaccard similarity of their word shingles, with a token-group matrix.
 
-A text's set is its distinct shingles.  Two sets that are similar enough share one of the tokens
+A text's set is its distinct shingles.  Two sets that are similar enough share a number of the tokens
 that come first in each under any common order; the order here puts frequent tokens last (by a
-sketch of token counts over all documents), so what comes first is rare.  Sets without such a shared token
-link with nothing and leave.  The others are partitioned into groups of similar sets: those with
-the same first shared token.  The token-group matrix says which groups hold a token.
+sketch of token counts over all documents), so what comes first is rare.  Sets that share too few of
+their first tokens with others link with nothing and leave.  The rest is partitioned into groups of similar
+sets: those with the same first shared token.  The token-group matrix says which groups hold a token.
 
-Inside a group every set is asked at once, by the postings of the group's tokens.  Between groups a set is
-sent only where the matrix holds one of its first tokens; there its overlap with the union
-of the group's tokens bounds its similarity to every member, and the group is opened only if the
-bound reaches the threshold.
+Inside a group sets are compared by the postings of the group's tokens.  Between groups the matrix
+bounds the overlap twice: a set is sent to a group only if the group holds enough of its first tokens
+(in members whose size allows the similarity); there its overlap with the union of all the group's tokens
+is counted, and the group is opened only if that reaches the threshold.
 
 What is wanted are the classes that the links connect, so sets that are known to be connected needn't
 meet: after the groups' own links, and those of the set with the most links in each group that had to be
@@ -41,8 +41,11 @@ from palisade.llm.simhash import SEED, components, forest
 from palisade.plans.storage import stored
 
 SHINGLE, LEAST_PCT = 3, 90
+SHARED, MORE = 8, 32  # two similar sets of n tokens and more share SHARED + n // MORE first tokens
 PART = 1 << 18  # tokens that a task compares at once, but for one longer set
 SKETCH_BITS, CHUNKS = 20, 64
+MOST_BITS = 27  # of the bitmap of tokens that occur again
+ROUNDS = 2  # in which sets with too few shared tokens leave
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
@@ -83,6 +86,19 @@ def need(n: int, least_pct: int = LEAST_PCT) -> int:
     return -(-least_pct * n // 100)
 
 
+def least_different(least_pct: int = LEAST_PCT) -> int:
+    """The size from which a set can be similar to a different one: one token more, and SHARED in common."""
+    n = 1
+    while 100 * n < least_pct * (n + 1) or need(n, least_pct) < SHARED + n // MORE:
+        n += 1
+    return n
+
+
+def shared_first(n: Column, least_pct: int) -> Column:
+    """First tokens that a set of n shares with any that is similar: the smaller of the two may have fewer."""
+    return F.lit(SHARED) + F.floor(F.ceil(n * least_pct / 100) / MORE)
+
+
 # ---- passes over the texts
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -94,24 +110,34 @@ def _narrow(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(SEED), text, doc_id).alias("k2"))
 
 
+def _counted(tokens: list[np.ndarray]) -> np.ndarray:
+    first = np.concatenate([np.zeros(0, np.uint64), *tokens]) >> np.uint64(64 - SKETCH_BITS)
+    return np.bincount(first.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+
+
 def _identified(narrow: DataFrame, shingle: int) -> DataFrame:
     """A row per document: doc_id, k1, k2, n, f1, f2 (the set's 128 bits); and with chunk and counts
     set, what a task counted of the tokens, by their first bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = _Hashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        known, counts, tokens, pending = _Hashes(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for batch in batches:
             sizes, marks = [], []
             for text in batch["text"]:
                 own = shingle_set(text, known, shingle)
                 sizes.append(len(own))
                 marks.append(xxhash.xxh3_128_intdigest(own.tobytes(), SEED))
-                np.add.at(counts, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                tokens.append(own)
+                pending += len(own)
+                if pending > 1 << 20:  # bounded memory
+                    counts += _counted(tokens)
+                    tokens, pending = [], 0
             low = (1 << 64) - 1
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "k1": batch["k1"], "k2": batch["k2"], "n": np.array(sizes, np.int64),
                 "f1": np.array([m >> 64 for m in marks], np.uint64).view(np.int64),
                 "f2": np.array([m & low for m in marks], np.uint64).view(np.int64), "chunk": -1, "counts": None})
+        counts += _counted(tokens)
         if counts.any():
             yield pd.DataFrame({
                 "doc_id": None, "k1": 0, "k2": 0, "n": 0, "f1": 0, "f2": 0, "chunk": np.arange(CHUNKS),
@@ -144,7 +170,9 @@ def _levels(parts: DataFrame) -> np.ndarray:
 
 
 def _first_tokens(narrow: DataFrame, levels: np.ndarray, shingle: int, least_pct: int) -> DataFrame:
-    """token, ord (its place in the order), f1, f2, n: the first tokens of every set."""
+    """token, ord (its place in the order), f1, f2, n: the first tokens of every set that can
+    be similar to a different one."""
+    smallest = least_different(least_pct)
     shared = narrow.sparkSession.sparkContext.broadcast(levels)  # 2 ** SKETCH_BITS bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,12 +182,13 @@ def _first_tokens(narrow: DataFrame, levels: np.ndarray, shingle: int, least_pct
             for text in batch["text"]:
                 own = shingle_set(text, known, shingle)
                 mark = xxhash.xxh3_128_intdigest(own.tobytes(), SEED)
-                if not len(own) or mark in done:
+                if len(own) < smallest or mark in done:
                     continue
                 if len(done) < 500_000:
                     done.add(mark)
                 level = levels[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = np.lexsort((own, level))[:len(own) - need(len(own), least_pct) + 1]
+                # stable: the tokens of a level keep their order
+                first = np.argsort(level, kind="stable")[:len(own) - need(len(own), least_pct) + SHARED + len(own) // MORE]
                 f1, f2 = np.array([mark >> 64, mark & ((1 << 64) - 1)], np.uint64).view(np.int64)
                 order = (level[first].astype(np.int64) << 56) | (own[first] >> np.uint64(8)).astype(np.int64)
                 for frame, column in zip(frames, (
@@ -171,6 +200,40 @@ def _first_tokens(narrow: DataFrame, levels: np.ndarray, shingle: int, least_pct
     return narrow.select("text").mapInPandas(run, "token long, ord long, f1 long, f2 long, n long")
 
 
+def _bitmap(tokens: DataFrame, bits: int) -> np.ndarray:
+    """The bits of some tokens, built on Spark in blocks; 2 ** bits of them at most come here."""
+    at = F.col("token").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = tokens.groupBy(F.shiftright(at, 15).alias("block")).agg(
+        F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("own")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        out[r["block"] * 4096:(r["block"] + 1) * 4096] = np.frombuffer(bytes(r["own"]), np.uint8)
+    return out
+
+
+def _repeated(first: DataFrame) -> DataFrame:
+    """The rows of first whose token other rows have too, and a few more: what shares a bit with these."""
+    shared = stored(first.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"))
+    bits = min(MOST_BITS, max(16, int(64 * shared.count()).bit_length()))
+    bitmap = first.sparkSession.sparkContext.broadcast(_bitmap(shared, bits))  # MOST_BITS bound it
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = batch["token"].to_numpy(np.int64) & ((1 << bits) - 1)
+            yield batch[(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+
+    return first.mapInPandas(run, first.schema)
+
+
+def _pruned(matrix: DataFrame, least_pct: int) -> DataFrame:
+    """Rows of sets with enough tokens that they share, and of tokens that several of these have."""
+    able = matrix.groupBy("f1", "f2", "n").agg(F.count("*").alias("m")).where(
+        F.col("m") >= shared_first(F.col("n"), least_pct)).select("f1", "f2")
+    left = stored(matrix.join(able, ["f1", "f2"]).select(*matrix.columns))
+    tokens = left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    return stored(left.join(tokens, "token").select(*matrix.columns))
+
+
 def _sets(narrow: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """f1, f2, tokens (8 bytes each, sorted) of the documents k1, k2 of rows."""
 
@@ -312,12 +375,10 @@ def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def linked_sets(narrow: DataFrame, own: DataFrame, levels: np.ndarray, shingle: int, least_pct: int, part: int) -> DataFrame:
-    """f1, f2, label (of the class) of the sets that share a first token with another one."""
-    first = stored(_first_tokens(narrow, levels, shingle, least_pct))
-    shared = small_side(first.groupBy("token").agg(
-        F.min("f1").alias("a1"), F.max("f1").alias("b1"), F.min("f2").alias("a2"), F.max("f2").alias("b2"))
-        .where("a1 != b1 or a2 != b2").select("token"))
-    matrix = stored(first.join(shared, "token").distinct())
+    """f1, f2, label (of the class) of the sets that share enough first tokens with others."""
+    matrix = stored(_repeated(stored(_first_tokens(narrow, levels, shingle, least_pct))).distinct())
+    for _ in range(ROUNDS):
+        matrix = _pruned(matrix, least_pct)
     # groups, split where they hold too many tokens for a task
     sets = matrix.groupBy("f1", "f2", "n").agg(F.min("ord").alias("ord"))
     heavy = small_side(sets.groupBy("ord").agg(F.sum("n").alias("tokens"), F.count("*").alias("m"))
@@ -328,7 +389,11 @@ def linked_sets(narrow: DataFrame, own: DataFrame, levels: np.ndarray, shingle:
     rows = own.join(members.select("f1", "f2"), ["f1", "f2"]).groupBy("f1", "f2").agg(
         F.min(F.struct("k1", "k2")).alias("k")).select("f1", "f2", "k.k1", "k.k2")
     tokens = stored(_sets(narrow, small_side(rows), shingle))
-    found = stored(_inside(members, tokens, part, least_pct))
+    placed = matrix.select("token", "f1", "f2", "n").join(members.select("f1", "f2", "ord", "part"), ["f1", "f2"])
+    twice = placed.groupBy("ord", "part", "token").agg(F.count("*").alias("m")).where("m > 1").select("ord", "part", "token")
+    close = placed.join(twice, ["ord", "part", "token"]).groupBy("ord", "part", "f1", "f2", "n").agg(F.count("*").alias("m")).where(
+        F.col("m") >= shared_first(F.col("n"), least_pct)).select("ord", "part", "f1", "f2", "n")
+    found = stored(_inside(stored(close), tokens, part, least_pct))
     edges = found.where("b is not null").select("a", "b")
     # of a split group, the set with the most links meets all parts
     hubs = (found.where("b is null").join(small_side(members.where("split").select("ord").distinct()), "ord")
@@ -346,9 +411,14 @@ def linked_sets(narrow: DataFrame, own: DataFrame, levels: np.ndarray, shingle:
     still = small_side(classes.groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("m"))
                        .where("m > 1").select("token", "most"))
     still_held = stored(held.join(still, "token"))
-    groups = still_held.groupBy("token", "ord", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = still_held.groupBy("token", "ord", "part").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most_n"))
+    # of the tokens that two sets share, one of them asks for half at least
     asked = still_held.where("label != most").select("token", "f1", "f2", "n", "label").join(groups, "token").where(
-        "low != label or high != label").select("f1", "f2", "n", "label", "ord", "part").distinct()
+        ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
+        & (F.col("least") * least_pct <= F.col("n") * 100) & (F.col("most_n") * 100 >= F.col("n") * least_pct)
+    ).groupBy("f1", "f2", "n", "label", "ord", "part").agg(F.count("*").alias("m")).where(
+        2 * F.col("m") >= shared_first(F.col("n"), least_pct)).drop("m")
     more = _between(stored(asked), members, tokens, part, least_pct)
     return _labelled(members.drop("label"), stored(edges.unionAll(more))).select("f1", "f2", "label")
 
