@@ -12,7 +12,7 @@ What is proposed reaches the tasks as a bitmap of phrase hashes of at most 2 **
 phrases that share a bit only make the pass count more: counts are kept by the phrase itself and
 the threshold is applied to them, so the result is exact whatever the sample and the bitmap are.
 
-A task combines equal phrases of some two million words before it hands them on, a row per phrase,
+A task combines equal phrases of some half a million words before it hands them on, a row per phrase,
 so a frequent phrase is few rows of the shuffle, and memory is bounded.
 
 Edge cases: a null text is empty, a null language is `und`; texts without words count nothing;
@@ -40,7 +40,7 @@ LEAST, LONGEST, KEPT_PCT, TOP = 10, 3, 50, 2000
 SHARE = 4  # a document in so many is sampled
 LOWERED = 2  # occurrences in the sample that propose a phrase; the share of LEAST is 2.5
 MOST_BITS = 27
-WORDS_AT_ONCE, BLOCK = 2_000_000, 1 << 20
+WORDS_AT_ONCE, BLOCK = 500_000, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 COUNTS = "lang string, k int, phrase string, f long, proposed boolean"
 
