@@ -15,6 +15,7 @@ from palisade.params import Params
 PATTERNS = (
     "high_risk_sudo", "normal_sudo", "failed_sudo", "su", "user_created", "group_change",
 )
+PRIVILEGE_KEYS = ["finding_id", "pattern"]
 
 
 def command_of(message: Column) -> Column:
@@ -41,31 +42,53 @@ def priv_esc(events: DataFrame, params: Params = Params()) -> Detection:
     """One finding per kind of privilege event over the whole input, and one
     per user with repeated failed sudo.  `priv_esc_per` names event columns to
     split the findings by."""
+    evidence = privilege_evidence(events, params)
+    ordered = first_items(privilege_items(evidence), params.names_kept)
+    findings = privilege_findings(summarise(evidence, PRIVILEGE_KEYS, params.names_kept), ordered, params)
+    few = F.col("pattern") == "failed_sudo"
+    enough = findings.filter(few).select("finding_id")
+    evidence = evidence.filter(~few).unionByName(
+        evidence.filter(few).join(enough, "finding_id", "left_semi").select(evidence.columns)
+    )
+    return detection(findings, evidence)
+
+
+def privilege_evidence(events: DataFrame, params: Params) -> DataFrame:
+    """The privilege events with the id of the finding they belong to."""
     rows = privilege_pattern(drop_listed(events, "user", params.allowed_users))
     group = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in params.priv_esc_per]
     own_user = F.when(F.col("pattern") == "failed_sudo", F.col("user"))
-    evidence = rows.withColumn(
+    return rows.withColumn(
         "finding_id", F.concat_ws("|", F.lit("priv_esc"), F.col("pattern"), own_user, *group)
     )
-    keys = ["finding_id", "pattern"]
-    facts = summarise(evidence, keys, params.names_kept).filter(
-        (F.col("pattern") != "failed_sudo")
-        | (F.col("event_count") >= params.failed_sudo_threshold)
-    )
-    # commands and new names are listed in order of time
-    listed = evidence.filter(
+
+
+def privilege_items(evidence: DataFrame) -> DataFrame:
+    """Commands and new names, with what orders them in time."""
+    return evidence.filter(
         (F.col("pattern") == "high_risk_sudo")
         | ((F.col("pattern") == "user_created") & is_filled(F.col("user")))
     ).select(
-        *keys, "ts", "event_id",
+        *PRIVILEGE_KEYS, "ts", "event_id",
         F.when(F.col("pattern") == "user_created", F.col("user"))
         .otherwise(command_of(F.col("message"))).alias("item"),
     )
-    ordered = first_names(
-        listed, keys, "item", [F.col("ts").asc_nulls_last(), F.col("event_id")],
-        params.names_kept, "items",
+
+
+def first_items(listed: DataFrame, kept: int) -> DataFrame:
+    """The first items of each finding in order of time, as an array."""
+    return first_names(
+        listed, PRIVILEGE_KEYS, "item", [F.col("ts").asc_nulls_last(), F.col("event_id")], kept, "items",
+    )
+
+
+def privilege_findings(facts: DataFrame, ordered: DataFrame, params: Params) -> DataFrame:
+    """Findings from the facts of each kind and its ordered items."""
+    facts = facts.filter(
+        (F.col("pattern") != "failed_sudo")
+        | (F.col("event_count") >= params.failed_sudo_threshold)
     )
-    df = facts.join(ordered, keys, "left")
+    df = facts.join(ordered, PRIVILEGE_KEYS, "left")
 
     count, users = F.col("event_count"), listing(
         F.col("users"), F.col("n_users"), params.names_kept)
@@ -103,7 +126,7 @@ def priv_esc(events: DataFrame, params: Params = Params()) -> Detection:
     df = df.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     rank = F.array_position(F.array(*[F.lit(p) for p in PATTERNS]), F.col("pattern"))
     su_severity = F.when(root, "HIGH").otherwise("MEDIUM")
-    findings = df.select(
+    return df.select(
         "*",
         (F.lit(RANKS["priv_esc"] - 1) + rank).cast("int").alias("finding_rank"),
         F.lit("priv_esc").alias("rule_id"),
@@ -113,12 +136,6 @@ def priv_esc(events: DataFrame, params: Params = Params()) -> Detection:
         pick(lambda s: F.lit(s[2])).alias("confidence"),
         pick(lambda s: s[3]).alias("metadata"),
     )
-    few = F.col("pattern") == "failed_sudo"
-    enough = findings.filter(few).select("finding_id")
-    evidence = evidence.filter(~few).unionByName(
-        evidence.filter(few).join(enough, "finding_id", "left_semi").select(evidence.columns)
-    )
-    return detection(findings, evidence)
 
 
 def auth_success(events: DataFrame, params: Params = Params()) -> Detection:

@@ -125,7 +125,7 @@ class _Conditions:
 
 
 # ------------------------------------------------------------------- inputs
-def _pool(findings: DataFrame) -> DataFrame:
+def finding_pool(findings: DataFrame) -> DataFrame:
     """Findings with their place in time.  Those without a time come last, at
     the time of the latest one, as they push nothing out of the window."""
     t = micros(F.col("first_seen"))
@@ -238,9 +238,9 @@ def _fired(pool: DataFrame, rules: Sequence[SequenceRule], window: int, length:
 
 
 # -------------------------------------------------------------------- keyed
-def _keyed_chains(pool: DataFrame, member_rows: DataFrame, rule: SequenceRule,
+def keyed_firings(pool: DataFrame, member_rows: DataFrame, rule: SequenceRule,
                   length: int) -> DataFrame:
-    """Chains in which each step follows the one before within the window of
+    """`rule_id, shared, trigger, hits` of chains in which each step follows the one before within the window of
     the rule and shares its address or user.  Fires once per value shared by
     the last two steps."""
     window = rule.window_sec * SECOND
@@ -268,15 +268,15 @@ def _keyed_chains(pool: DataFrame, member_rows: DataFrame, rule: SequenceRule,
             F.col("value").alias("shared"), "t", "okey",
             F.concat("before.hits", F.array("own")).alias("hits"),
         )
-    once = rows.groupBy("shared").agg(
+    return rows.groupBy("shared").agg(
         F.min_by("hits", "okey").alias("hits"), F.min("okey").alias("trigger")
-    )
+    ).select(F.lit(rule.rule_id).alias("rule_id"), "shared", "trigger", "hits")
+
+
+def keyed_chains(firings: DataFrame) -> DataFrame:
+    """Chains from firings: one finding may be reached by several shared values."""
     ids = F.transform("hits", lambda h: h["finding_id"])
-    chain = once.select(
-        F.lit(rule.rule_id).alias("rule_id"), "trigger", "hits",
-        F.concat_ws("|", F.lit(rule.rule_id), ids).alias("chain_id"),
-    )
-    # one finding may be reached by several shared values
+    chain = firings.withColumn("chain_id", F.concat_ws("|", F.col("rule_id"), ids))
     return chain.groupBy("rule_id", "chain_id").agg(
         F.min("trigger").alias("trigger"), F.min_by("hits", "trigger").alias("hits")
     ).withColumn("base", F.flatten(F.transform("hits", lambda h: h["base"])))
@@ -373,7 +373,7 @@ def correlate(
 
     The findings are stored first, as every rule reads them."""
     findings = stored(found.findings)
-    pool = _pool(findings)
+    pool = finding_pool(findings)
     member_rows = finding_members(findings, found.evidence)
     length = params.slice_sec * SECOND
     parts: list[DataFrame] = []
@@ -388,15 +388,31 @@ def correlate(
                     _as_pool(parts[-1], findings, rules, order, params.names_kept)
                 )
     elif mode == "keyed":
-        chains = [
-            _keyed_chains(pool.filter(F.col("first_seen").isNotNull()), member_rows, r, length)
-            for r in rules
-        ]
-        told = _union_identity(stored(reduce(DataFrame.unionByName, chains)), member_rows)
-        parts.append(stored(told.drop("sum_1", "sum_2")))
+        timed = pool.filter(F.col("first_seen").isNotNull())
+        firings = reduce(DataFrame.unionByName, [
+            keyed_firings(timed, member_rows, r, length) for r in rules
+        ])
+        return keyed_correlation(found, findings, member_rows, firings, params, rules, evidence_cap)
     else:
         raise ValueError(f"unknown mode: {mode}")
-    fired = reduce(DataFrame.unionByName, parts)
+    return _correlation(
+        found, findings, reduce(DataFrame.unionByName, parts), params, rules, evidence_cap)
+
+
+def keyed_correlation(
+    found: Detection, findings: DataFrame, member_rows: DataFrame, firings: DataFrame,
+    params: Params, rules: Sequence[SequenceRule], evidence_cap: int | None = None,
+) -> Correlation:
+    """The result of keyed mode from the firings of the rules."""
+    told = _union_identity(stored(keyed_chains(firings)), member_rows)
+    return _correlation(
+        found, findings, stored(told.drop("sum_1", "sum_2")), params, rules, evidence_cap)
+
+
+def _correlation(
+    found: Detection, findings: DataFrame, fired: DataFrame, params: Params,
+    rules: Sequence[SequenceRule], evidence_cap: int | None,
+) -> Correlation:
     links = _links(fired)
     chains = _described(fired, findings, rules, params.names_kept)
     return Correlation(

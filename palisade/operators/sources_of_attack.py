@@ -25,6 +25,11 @@ def _failures(events: DataFrame, params: Params, *more: Column) -> DataFrame:
     return drop_listed(df, "ip", params.allowed_ips)
 
 
+def source_failures(events: DataFrame, params: Params) -> DataFrame:
+    """What the detectors of this module look at."""
+    return _failures(events, params)
+
+
 def _timed(events: DataFrame) -> DataFrame:
     return events.select("ip", "user", micros(F.col("ts")).alias("t"))
 
@@ -37,12 +42,20 @@ def brute_force(events: DataFrame, params: Params = Params()) -> Detection:
     """Addresses with at least `brute_force_threshold` failed logins; severity
     by the peak number inside a sliding window.  Evidence: all failed logins
     of the address."""
-    threshold, window = params.brute_force_threshold, params.brute_force_window_sec
+    window = params.brute_force_window_sec
     rows = _failures(events, params)
     peaks = peak_window(
         _timed(rows), "ip", "t", window * SECOND, params.slice_sec * SECOND
     )
-    facts = summarise(rows, ["ip"], params.names_kept).filter(F.col("event_count") >= threshold)
+    findings = brute_force_findings(summarise(rows, ["ip"], params.names_kept), peaks, params)
+    evidence = rows.join(findings.select("ip", "finding_id"), "ip")
+    return detection(findings, evidence)
+
+
+def brute_force_findings(facts: DataFrame, peaks: DataFrame, params: Params) -> DataFrame:
+    """Findings from the facts of addresses and their peaks (`ip, peak, peak_start`)."""
+    threshold, window = params.brute_force_threshold, params.brute_force_window_sec
+    facts = facts.filter(F.col("event_count") >= threshold)
     # an address whose events all lack a time counts as one burst
     burst = F.coalesce(F.col("peak"), F.col("event_count"))
     found = (
@@ -52,7 +65,7 @@ def brute_force(events: DataFrame, params: Params = Params()) -> Detection:
     )
     critical, high = burst >= 3 * threshold, burst >= threshold
     started = F.timestamp_micros("peak_start")
-    findings = found.select(
+    return found.select(
         "*",
         F.lit(RANKS["brute_force"]).alias("finding_rank"),
         F.lit("brute_force").alias("rule_id"),
@@ -69,8 +82,13 @@ def brute_force(events: DataFrame, params: Params = Params()) -> Detection:
             targeted_users=F.array_join("users", ","),
         ).alias("metadata"),
     )
-    evidence = rows.join(found.select("ip", "finding_id"), "ip")
-    return detection(findings, evidence)
+
+
+def least_users(rule_id: str, params: Params) -> int:
+    """Different users that a window needs for a finding."""
+    if rule_id == "password_spray":
+        return max(2, params.spray_threshold // 2)
+    return params.enumeration_threshold
 
 
 def _widest_window(rows: DataFrame, window: int, params: Params, least: int) -> DataFrame:
@@ -105,14 +123,20 @@ def _inside(rows: DataFrame, peaks: DataFrame, window: int, rule_id: str) -> Dat
 def password_spray(events: DataFrame, params: Params = Params()) -> Detection:
     """Addresses that try many different accounts inside a sliding window.
     Evidence: the events of the best window."""
-    threshold, window = params.spray_threshold, params.spray_window_sec
+    window = params.spray_window_sec
     rows = _failures(events, params, is_filled(F.col("user")))
-    peaks = _widest_window(rows, window, params, max(2, threshold // 2))
+    peaks = _widest_window(rows, window, params, least_users("password_spray", params))
     evidence = _inside(rows, peaks, window, "password_spray")
     facts = summarise(evidence, ["finding_id", "ip"], params.names_kept)
+    return detection(password_spray_findings(facts, params), evidence)
+
+
+def password_spray_findings(facts: DataFrame, params: Params) -> DataFrame:
+    """Findings from the facts of the best windows."""
+    threshold, window = params.spray_threshold, params.spray_window_sec
     high = F.col("n_users") >= threshold
     level = F.when(high, "HIGH").otherwise("MEDIUM")
-    findings = facts.select(
+    return facts.select(
         "*",
         F.lit(RANKS["password_spray"]).alias("finding_rank"),
         F.lit("password_spray").alias("rule_id"),
@@ -127,21 +151,25 @@ def password_spray(events: DataFrame, params: Params = Params()) -> Detection:
             users=F.array_join("users", ","), window_sec=F.lit(window),
         ).alias("metadata"),
     )
-    return detection(findings, evidence)
 
 
 def enumeration(events: DataFrame, params: Params = Params()) -> Detection:
     """Addresses that probe account names which do not exist.  Evidence: the
     events of the best window."""
-    threshold, window = params.enumeration_threshold, params.brute_force_window_sec
+    window = params.brute_force_window_sec
     rows = _failures(
         events, params, contains_any(F.lower("message"), fixed.INVALID_USER_MARKERS)
     )
-    peaks = _widest_window(rows, window, params, threshold)
+    peaks = _widest_window(rows, window, params, least_users("enumeration", params))
     evidence = _inside(rows, peaks, window, "enumeration")
     facts = summarise(evidence, ["finding_id", "ip"], params.names_kept)
-    level = F.when(F.col("n_users") >= 2 * threshold, "HIGH").otherwise("MEDIUM")
-    findings = facts.select(
+    return detection(enumeration_findings(facts, params), evidence)
+
+
+def enumeration_findings(facts: DataFrame, params: Params) -> DataFrame:
+    """Findings from the facts of the best windows."""
+    level = F.when(F.col("n_users") >= 2 * params.enumeration_threshold, "HIGH").otherwise("MEDIUM")
+    return facts.select(
         "*",
         F.lit(RANKS["enumeration"]).alias("finding_rank"),
         F.lit("enumeration").alias("rule_id"),
@@ -155,4 +183,3 @@ def enumeration(events: DataFrame, params: Params = Params()) -> Detection:
             invalid_users=F.array_join("users", ","),
         ).alias("metadata"),
     )
-    return detection(findings, evidence)

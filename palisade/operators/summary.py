@@ -35,16 +35,18 @@ def members(evidence: DataFrame, keys: list[str] = ["finding_id"]) -> DataFrame:
     )
 
 
+def listed_members(kind: str, names: str) -> Column:
+    """The names in an array as `kind, value`."""
+    return F.transform(names, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
 def finding_members(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """finding_id, kind, value of all members of stored findings.  A finding
     row itself holds them unless there are more than it keeps; only for such
     findings the evidence is read."""
-    def listed(kind: str, names: str) -> Column:
-        return F.transform(names, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-
     more = (F.col("n_source_ips") > F.size("source_ips")) | (F.col("n_users") > F.size("users"))
     out = findings.filter(~more).select("finding_id", F.inline(F.concat(
-        listed("ip", F.col("source_ips")), listed("user", F.col("users"))
+        listed_members("ip", "source_ips"), listed_members("user", "users")
     )))
     large = findings.filter(more).select("finding_id")
     if large.isEmpty():
@@ -52,14 +54,31 @@ def finding_members(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.unionByName(members(evidence.join(large, "finding_id", "left_semi")))
 
 
+def cells_of(evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, address and user with `n, first, last`: what facts are merged
+    from.  Keys that hold the address itself (the per-source detectors) add none."""
+    return evidence.groupBy(*keys, *([] if "ip" in keys else ["ip"]), "user").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+    )
+
+
+def merged_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of several parts of the input as those of the whole."""
+    return cells.groupBy(*keys, *([] if "ip" in keys else ["ip"]), "user").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
+    )
+
+
 def summarise(evidence: DataFrame, keys: list[str], kept: int) -> DataFrame:
     """Per finding: event_count, first_seen, last_seen, n_source_ips, n_users,
     n_named (events that name a user), has_root, and the first `kept` names of
     the sorted source_ips and users.  Keys that hold the address itself (the
     per-source detectors) need no list of addresses."""
-    cells = evidence.groupBy(*keys, *([] if "ip" in keys else ["ip"]), "user").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-    )
+    return facts_of(cells_of(evidence, keys), keys, kept)
+
+
+def facts_of(cells: DataFrame, keys: list[str], kept: int) -> DataFrame:
+    """The facts of `summarise` from cells."""
     user = F.nullif(F.col("user"), F.lit(""))
     ip = F.nullif(F.col("ip"), F.lit(""))
     named = is_filled(F.col("user"))

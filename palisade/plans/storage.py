@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +25,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# tables that stored() has written in this process, and inside scratch() of a thread
+_written: list[str] = []
+_open = threading.local()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that stored() has written, when no result that reads them is needed any more."""
+    _delete(spark, _written)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stores inside are deleted at the end."""
+    outer, own = getattr(_open, "paths", None), []
+    _open.paths = own
+    try:
+        yield
+    finally:
+        _open.paths = outer
+        _delete(spark, own)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read, and read it back: it is
     computed once, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/palisade-{uuid.uuid4().hex}"
+    (_written if getattr(_open, "paths", None) is None else _open.paths).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
