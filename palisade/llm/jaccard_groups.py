@@ -4,17 +4,19 @@ A text's set is its distinct shingles.  Two sets that are similar enough share a
 that come first in each under any common order; the order here puts frequent tokens last (by a
 sketch of token counts over all documents), so what comes first is rare.  Sets that share too few of
 their first tokens with others link with nothing and leave.  The rest is partitioned into groups of similar
-sets: those with the same first shared token.  The token-group matrix says which groups hold a token.
+sets: each goes to the one of its first tokens that most sets share.  The token-group matrix says which groups
+hold a token.
 
 Inside a group sets are compared by the postings of the group's tokens.  Between groups the matrix
 bounds the overlap twice: a set is sent to a group only if the group holds enough of its first tokens
 (in members whose size allows the similarity); there its overlap with the union of all the group's tokens
-is counted, and the group is opened only if that reaches the threshold.
+is counted, and the group is opened only if that reaches the threshold.  The groups to look up are found by the
+rarest of the first tokens alone, by exact counts: of k shared ones, s of which a partner must have, by k - s + 1.
 
 What is wanted are the classes that the links connect, so sets that are known to be connected needn't
 meet: after the groups' own links, and those of the set with the most links in each group that had to be
-split, only tokens whose holders are still in several classes are followed, and only by the sets outside
-the largest of these.  A group of near copies so costs a bounded number of comparisons a set, in
+split, only tokens whose holders are still in several classes and groups are followed, and only by the sets
+outside the largest of these classes.  A group of near copies so costs a bounded number of comparisons a set, in
 parts of a bounded number of tokens, however large it is; no link between classes is lost.
 
 Equal sets are one row throughout.  A set is known by 128 bits of hash; shingles are compared by 64.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import small_side
@@ -170,15 +172,14 @@ def _levels(parts: DataFrame) -> np.ndarray:
 
 
 def _first_tokens(narrow: DataFrame, levels: np.ndarray, shingle: int, least_pct: int) -> DataFrame:
-    """token, ord (its place in the order), f1, f2, n: the first tokens of every set that can
-    be similar to a different one."""
+    """token, f1, f2, n: the first tokens of every set that can be similar to a different one."""
     smallest = least_different(least_pct)
     shared = narrow.sparkSession.sparkContext.broadcast(levels)  # 2 ** SKETCH_BITS bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, levels, done = _Hashes(), shared.value, set()
         for batch in batches:
-            frames = [[np.zeros(0, np.int64)] for _ in range(5)]
+            frames = [[np.zeros(0, np.int64)] for _ in range(4)]
             for text in batch["text"]:
                 own = shingle_set(text, known, shingle)
                 mark = xxhash.xxh3_128_intdigest(own.tobytes(), SEED)
@@ -190,14 +191,13 @@ def _first_tokens(narrow: DataFrame, levels: np.ndarray, shingle: int, least_pct
                 # stable: the tokens of a level keep their order
                 first = np.argsort(level, kind="stable")[:len(own) - need(len(own), least_pct) + SHARED + len(own) // MORE]
                 f1, f2 = np.array([mark >> 64, mark & ((1 << 64) - 1)], np.uint64).view(np.int64)
-                order = (level[first].astype(np.int64) << 56) | (own[first] >> np.uint64(8)).astype(np.int64)
                 for frame, column in zip(frames, (
-                        own[first].view(np.int64), order, np.full(len(first), f1), np.full(len(first), f2),
+                        own[first].view(np.int64), np.full(len(first), f1), np.full(len(first), f2),
                         np.full(len(first), len(own))), strict=True):
                     frame.append(column)
-            yield pd.DataFrame({c: np.concatenate(f) for c, f in zip(("token", "ord", "f1", "f2", "n"), frames, strict=True)})
+            yield pd.DataFrame({c: np.concatenate(f) for c, f in zip(("token", "f1", "f2", "n"), frames, strict=True)})
 
-    return narrow.select("text").mapInPandas(run, "token long, ord long, f1 long, f2 long, n long")
+    return narrow.select("text").mapInPandas(run, "token long, f1 long, f2 long, n long")
 
 
 def _bitmap(tokens: DataFrame, bits: int) -> np.ndarray:
@@ -374,13 +374,49 @@ def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
         *members.columns, F.coalesce("root", "id").alias("label"))
 
 
+def _to_ask(matrix: DataFrame, members: DataFrame, least_pct: int) -> DataFrame:
+    """The sets and the other groups they must be sent to: f1, f2, n, label, ord, part (of the group)."""
+    own = ["f1", "f2", "n", "label", "home", "at"]
+    held = matrix.select("token", "f1", "f2").join(members.select(
+        "f1", "f2", "n", "label", F.col("ord").alias("home"), F.col("part").alias("at")), ["f1", "f2"])
+    enough = shared_first(F.col("n"), least_pct)
+    for _ in range(ROUNDS):  # sets that still have enough tokens whose holders are in several classes and groups
+        several = held.groupBy("token").agg(
+            F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.struct("home", "at")).alias("c"),
+            F.max(F.struct("home", "at")).alias("d"), F.count("*").alias("df")).where("a != b and c != d")
+        held = held.drop("df").join(several.select("token", "df"), "token")
+        able = held.groupBy("f1", "f2").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(
+            F.col("k") >= enough).select("f1", "f2", "k")
+        held = stored(held.drop("k").join(able, ["f1", "f2"]))
+    rarest = Window.partitionBy("f1", "f2").orderBy("df", "token")
+    first = stored(held.withColumn("nr", F.row_number().over(rarest)).where(
+        F.col("nr") <= F.col("k") - enough + 1).drop("nr"))
+    classes = first.groupBy("token", "label").agg(F.count("*").alias("m"))
+    largest = classes.groupBy("token").agg(
+        F.max(F.struct("m", "label"))["label"].alias("most"), F.count("*").alias("c")).where("c > 1").select("token", "most")
+    followed = first.join(largest, "token")
+    groups = followed.select("token", F.col("home").alias("ord"), F.col("at").alias("part")).distinct()
+    pairs = followed.where("label != most").select("token", *own).join(groups, "token").where(
+        "ord != home or part != at").select(*own, "ord", "part").distinct()
+    # the matrix: which groups hold a token, in members of which classes and sizes
+    entries = held.groupBy("token", F.col("home").alias("ord"), F.col("at").alias("part")).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return pairs.join(held.select("f1", "f2", "token"), ["f1", "f2"]).join(entries, ["token", "ord", "part"]).where(
+        ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
+        & (F.col("least") * least_pct <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * least_pct)
+    ).groupBy("f1", "f2", "n", "label", "ord", "part").agg(F.count("*").alias("m")).where(
+        F.col("m") >= enough).drop("m")
+
+
 def linked_sets(narrow: DataFrame, own: DataFrame, levels: np.ndarray, shingle: int, least_pct: int, part: int) -> DataFrame:
     """f1, f2, label (of the class) of the sets that share enough first tokens with others."""
     matrix = stored(_repeated(stored(_first_tokens(narrow, levels, shingle, least_pct))).distinct())
     for _ in range(ROUNDS):
         matrix = _pruned(matrix, least_pct)
     # groups, split where they hold too many tokens for a task
-    sets = matrix.groupBy("f1", "f2", "n").agg(F.min("ord").alias("ord"))
+    sizes = matrix.groupBy("token").agg(F.count("*").alias("df"))
+    sets = matrix.join(sizes, "token").groupBy("f1", "f2", "n").agg(
+        F.max(F.struct("df", "token"))["token"].alias("ord"))
     heavy = small_side(sets.groupBy("ord").agg(F.sum("n").alias("tokens"), F.count("*").alias("m"))
                        .where((F.col("tokens") > part) & (F.col("m") > 1)).select("ord", _parts("tokens", part).alias("parts")))
     members = stored(sets.join(heavy, "ord", "left").select(
@@ -404,21 +440,7 @@ def linked_sets(narrow: DataFrame, own: DataFrame, levels: np.ndarray, shingle:
     edges = stored(edges.unionAll(_between(
         asked, split.select("f1", "f2", "n", F.col("id").alias("label"), "ord", "part"), tokens, part, least_pct)))
     members = stored(_labelled(members, edges))
-    # tokens whose holders are in several classes, and the largest of these
-    held = stored(matrix.select("token", "f1", "f2").join(
-        members.select("f1", "f2", "n", "ord", "part", "label"), ["f1", "f2"]))
-    classes = held.groupBy("token", "label").agg(F.count("*").alias("n"))
-    still = small_side(classes.groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("m"))
-                       .where("m > 1").select("token", "most"))
-    still_held = stored(held.join(still, "token"))
-    groups = still_held.groupBy("token", "ord", "part").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most_n"))
-    # of the tokens that two sets share, one of them asks for half at least
-    asked = still_held.where("label != most").select("token", "f1", "f2", "n", "label").join(groups, "token").where(
-        ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
-        & (F.col("least") * least_pct <= F.col("n") * 100) & (F.col("most_n") * 100 >= F.col("n") * least_pct)
-    ).groupBy("f1", "f2", "n", "label", "ord", "part").agg(F.count("*").alias("m")).where(
-        2 * F.col("m") >= shared_first(F.col("n"), least_pct)).drop("m")
+    asked = _to_ask(matrix, members, least_pct)
     more = _between(stored(asked), members, tokens, part, least_pct)
     return _labelled(members.drop("label"), stored(edges.unionAll(more))).select("f1", "f2", "label")
 
