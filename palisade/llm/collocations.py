@@ -6,7 +6,7 @@ proposes which words and pairs are frequent, at a lowered threshold.  One pass o
 then counts exactly every proposed phrase and the negative border: the phrases that
 were not proposed though all their parts were.  A border phrase that turns out frequent is a
 failure: it may be part of phrases that were not counted.  Further passes count what the
-failures admit, until there are none; a phrase of three words allows three passes at most.
+failures admit, until there are none.
 
 What is proposed reaches the tasks as a bitmap of phrase hashes of at most 2 ** 27 bits.  Two
 phrases that share a bit only make the pass count more: counts are kept by the phrase itself and
@@ -42,7 +42,7 @@ LOWERED = 2  # occurrences in the sample that propose a phrase; the share of LEA
 MOST_BITS = 27
 WORDS_AT_ONCE, BLOCK = 500_000, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-COUNTS = "lang string, k int, phrase string, f long, proposed boolean"
+COUNTS = "lang string, phrase string, f long"
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +122,9 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def phrase_counts(run: Run, bitmap: np.ndarray, before: np.ndarray | None) -> list[pd.DataFrame]:
-    """The phrases of a run whose parts are in the bitmap, but not all in the one before."""
+    """The phrases of a run whose parts are in the bitmap, but not all in the one before: lang, phrase, f.
+    The empty phrase stands for all words.  After the first pass a pair that is counted for the first time
+    counts as part of longer phrases at once, so that it needn't be proposed by another pass."""
     a, names, hashes = run.words()
     v = np.uint64(len(names))
     good = _has(bitmap, hashes)
@@ -130,14 +132,14 @@ def phrase_counts(run: Run, bitmap: np.ndarray, before: np.ndarray | None) -> li
     n = len(names)
     frames = []
 
-    def give(k: int, phrases: list[str], f: np.ndarray, proposed) -> None:
+    def give(phrases: list[str], f: np.ndarray) -> None:
         if len(f):
-            frames.append(pd.DataFrame({"lang": run.lang, "k": np.int32(k), "phrase": phrases, "f": f, "proposed": proposed}))
+            frames.append(pd.DataFrame({"lang": run.lang, "phrase": phrases, "f": f}))
 
     if before is None:  # all words are counted in the first pass, and their number
         f = np.bincount(a, minlength=n)
-        give(0, [""], np.array([f[2:].sum()]), True)
-        give(1, names[2:], f[2:], good[2:])
+        give([""], np.array([f[2:].sum()]))
+        give(names[2:], f[2:])
     word = a > 1
     pair = word[:-1] & word[1:]
     x, y = a[:-1], a[1:]
@@ -148,23 +150,20 @@ def phrase_counts(run: Run, bitmap: np.ndarray, before: np.ndarray | None) -> li
     at = np.flatnonzero(want)
     codes, f = _counted(x[at].astype(np.uint64) * v + y[at].astype(np.uint64))
     first, second = (codes // v).astype(np.int64), (codes % v).astype(np.int64)
-    give(2, [f"{names[i]} {names[j]}" for i, j in zip(first.tolist(), second.tolist(), strict=True)], f,
-         _has(bitmap, _pair_hash(hashes[first], hashes[second])))
+    give([f"{names[i]} {names[j]}" for i, j in zip(first.tolist(), second.tolist(), strict=True)], f)
     if len(a) > 2:
-        known = pair & _has(bitmap, pair_hash)
-        want = known[:-1] & known[1:]
         # a pair is counted, and so a part, only if its words are in the bitmap as well
-        both = good[x] & good[y]
-        want &= both[:-1] & both[1:]
+        known = pair & good[x] & good[y] & _has(bitmap, pair_hash)
         if old is not None:
-            had = _has(before, pair_hash) & old[x] & old[y]
-            want &= ~(had[:-1] & had[1:])
+            known |= want
+        had = known & _has(before, pair_hash) & old[x] & old[y] if old is not None else np.zeros(len(x), bool)
+        want = known[:-1] & known[1:] & ~(had[:-1] & had[1:])
         at = np.flatnonzero(want)
         codes, f = _counted((a[at].astype(np.uint64) * v + a[at + 1].astype(np.uint64)) * v + a[at + 2].astype(np.uint64))
         rest, third = codes // v, (codes % v).astype(np.int64)
         first, second = (rest // v).astype(np.int64), (rest % v).astype(np.int64)
-        give(3, [f"{names[i]} {names[j]} {names[k]}" for i, j, k in zip(
-            first.tolist(), second.tolist(), third.tolist(), strict=True)], f, True)
+        give([f"{names[i]} {names[j]} {names[k]}" for i, j, k in zip(
+            first.tolist(), second.tolist(), third.tolist(), strict=True)], f)
     return frames
 
 
@@ -191,8 +190,8 @@ def _proposed(texts: DataFrame, share: int, lowered: int) -> DataFrame:
         F.col("n") >= lowered).select("h")
 
 
-def _hashes(phrases: DataFrame) -> DataFrame:
-    """h of phrases (lang, phrase) of one or two words."""
+def _failed(phrases: DataFrame, bitmap) -> DataFrame:
+    """h of the words and pairs (lang, phrase) that are not in the bitmap (a broadcast variable)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -201,7 +200,8 @@ def _hashes(phrases: DataFrame) -> DataFrame:
                 own = np.array([xxhash.xxh64_intdigest(f"{lang}\x00{w}".encode("utf-8", "surrogatepass"))
                                 for w in phrase.split(" ")], np.uint64)
                 found.append(own[0] if len(own) == 1 else _pair_hash(own[:1], own[1:])[0])
-            yield pd.DataFrame({"h": np.array(found, np.uint64).view(np.int64)})
+            h = np.array(found, np.uint64)
+            yield pd.DataFrame({"h": h[~_has(bitmap.value, h)].view(np.int64)})
 
     return phrases.select("lang", "phrase").mapInPandas(run, "h long")
 
@@ -235,14 +235,16 @@ def frequent(
             for own in _runs(batches):
                 yield from phrase_counts(own, new.value, old.value)
 
-        counts = texts.select("lang", "text").mapInPandas(run, COUNTS).groupBy("lang", "k", "phrase").agg(
-            F.sum("f").alias("f"), F.max("proposed").alias("proposed"))
-        counts = stored(counts.where((F.col("f") >= least) | (F.col("k") == 0)))
+        counts = texts.select("lang", "text").mapInPandas(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        length = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+        counts = stored(counts.where((F.col("f") >= least) | (F.col("phrase") == "")).withColumn("k", length))
         found.append(counts)
-        failed = counts.where(F.col("k").between(1, LONGEST - 1) & ~F.col("proposed"))
+        # pairs of later passes have counted as parts already
+        parts = counts.where(F.col("k").between(1, LONGEST - 1 if before is None else 1))
+        failed = stored(_failed(parts, new))
         if failed.isEmpty():
             break
-        bitmap, before = bitmap | _bitmap(_hashes(failed), bits), bitmap
+        bitmap, before = bitmap | _bitmap(failed, bits), bitmap
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
