@@ -76,7 +76,8 @@ def _rules_of_row() -> Column:
 
 
 class StreamDetection:
-    """Detection over a stream, kept in a shared folder.  `advance` is the foreachBatch function."""
+    """Detection over a stream, kept in a shared folder.  `advance` is the foreachBatch function.
+    Without rules no chains are sought."""
 
     def __init__(self, spark: SparkSession, folder: str, params: Params = Params(),
                  rules: Sequence[SequenceRule] = BUILT_IN_RULES):
@@ -116,7 +117,8 @@ class StreamDetection:
             found = [*self._sources(own, number), self._privileges(own, number),
                      auth_success(own, self.params).findings]
             self._put("findings", number, reduce(DataFrame.unionByName, found))
-            self._put("firings", number, self._firings(number))
+            if self.rules:
+                self._put("firings", number, self._firings(number))
 
     def _failures(self, events: DataFrame) -> DataFrame:
         """Failed logins, a row per detector that looks at them."""

@@ -109,9 +109,9 @@ def stored_events(spark: SparkSession, sf_dir: str, daily: bool = False) -> Data
 def cef_lines(df: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     name = (
-        F.when(kind == "error", "SSH login failed").when(kind == "view", "Access denied")
-        .when(kind == "click", "SSH login success").when(kind == "signup", "Account created")
-        .otherwise("Privilege use")
+        F.when(kind == "error", "Console logon failure").when(kind == "view", "Portal request denied")
+        .when(kind == "click", "Console logon success").when(kind == "signup", "Helpdesk user created")
+        .otherwise("Privilege grant")
     )
     nr = F.col("event_id")
     millis = F.unix_millis("ts").cast("string")
@@ -122,10 +122,10 @@ def cef_lines(df: DataFrame) -> DataFrame:
         (nr % 7).cast("string"), " of ", kind, "  rt=", millis, " act=", kind,
     )
     leef = _text(
-        "LEEF:1.0|Beta|Radar|7.3|", kind, "|sev=", (nr % 11).cast("string"), "\tsrc=",
+        "LEEF:1.0|Halden|Lookout|4.0|", kind, "|sev=", (nr % 11).cast("string"), "\tsrc=",
         F.col("ip"), "\tusrName=", F.col("user"), "\tdst=", F.col("host"), "\tnote=a=b",
     )
-    cef = _text("CEF:0|Acme|Wall|6.4|", (nr % 100).cast("string"), "|", name, "|", level, "|", ext)
+    cef = _text("CEF:0|Northgate|Porter|2.11|", (nr % 100).cast("string"), "|", name, "|", level, "|", ext)
     return df.select(
         "event_id", F.lit("events").alias("source"),
         F.when(nr % 5 == 4, leef).when(nr % 50 == 3, _text("Jan  1 00:00:00 gw ", cef))

@@ -422,14 +422,14 @@ def level(column: str) -> str:
   WHEN lower({column}) IN ('medium', 'warning') THEN 'WARNING' ELSE 'UNKNOWN' END"""
 
 
-CEF_LINES = """cef_lines AS (SELECT *, 'CEF:0|Acme|Wall|6.4|' || (event_id % 100) || '|' ||
-  CASE event_type WHEN 'error' THEN 'SSH login failed' WHEN 'view' THEN 'Access denied'
-    WHEN 'click' THEN 'SSH login success' WHEN 'signup' THEN 'Account created' ELSE 'Privilege use' END
+CEF_LINES = """cef_lines AS (SELECT *, 'CEF:0|Northgate|Porter|2.11|' || (event_id % 100) || '|' ||
+  CASE event_type WHEN 'error' THEN 'Console logon failure' WHEN 'view' THEN 'Portal request denied'
+    WHEN 'click' THEN 'Console logon success' WHEN 'signup' THEN 'Helpdesk user created' ELSE 'Privilege grant' END
   || '|' || CASE WHEN event_id % 12 = 11 THEN 'High' ELSE (event_id % 12)::VARCHAR END || '|' ||
   CASE WHEN event_id % 3 = 0 THEN 'shost=gw1 src=' ELSE 'src=' END || ip || ' suser=' || "user" ||
   ' dst=192.168.0.1 msg=code\\=' || (event_id % 7) || ' of ' || event_type || '  rt=' || (epoch_us(ts) // 1000) ||
   ' act=' || event_type AS cef,
-  'LEEF:1.0|Beta|Radar|7.3|' || event_type || '|sev=' || (event_id % 11) || chr(9) || 'src=' || ip
+  'LEEF:1.0|Halden|Lookout|4.0|' || event_type || '|sev=' || (event_id % 11) || chr(9) || 'src=' || ip
   || chr(9) || 'usrName=' || "user" || chr(9) || 'dst=' || host || chr(9) || 'note=a=b' AS leef FROM base)"""
 
 CEF = f"""WITH {base()}, {CEF_LINES},
@@ -657,6 +657,18 @@ SELECT ip, window_start, peak, t0 AS peak_start FROM pk
 QUALIFY peak >= 5 AND row_number() OVER (PARTITION BY ip, window_start ORDER BY peak DESC, t0) = 1""",
     "stream_candidates": grid("\"user\" <> ''", 6 * HOUR, 2 * HOUR, 5) + "SELECT * FROM grid",
     "stream_enumeration": grid(words("lower(message)", fixed.INVALID_USER_MARKERS), DAY, 6 * HOUR, 5) + "SELECT * FROM grid",
+    "stream_findings": case(q.ALLOWED) + finding_view("true"),
+    "stream_evidence": case(q.ALLOWED) + """SELECT finding_id, count(*) AS events, sum(event_id)::BIGINT AS id_sum
+  FROM evidence GROUP BY finding_id""",
+    "stream_chains": keyed(),
+    "stream_late": events_ctes() + """, p AS (SELECT event_id, ts, CASE WHEN event_id % 5 = 0 THEN 3
+  ELSE coalesce(day(make_timestamp(ts)) // 11, 1) END AS batch FROM ev),
+m AS (SELECT batch, max(ts) AS latest FROM p GROUP BY batch),
+w AS (SELECT b.batch, (SELECT max(latest) FROM m WHERE m.batch < b.batch - 1) - 5 * 86400000000 AS mark
+  FROM (SELECT DISTINCT batch FROM p) b)
+SELECT event_id, batch::BIGINT AS batch, CASE WHEN ts IS NULL THEN 'untimed'
+  WHEN ts // 3600000000 * 3600000000 + 3600000000 <= mark THEN 'late' ELSE 'in_time' END AS arrival
+FROM p JOIN w USING (batch)""",
     "stream_failed_sudo": f"""{events_ctes()}, src AS ({_failed}),
   days AS (SELECT "user", ts - ts % {DAY} AS window_start, count(*) AS failed_count FROM src GROUP BY ALL)
 SELECT * FROM days WHERE failed_count >= 2 AND window_start + {DAY} <= (SELECT max(ts) FROM src) - {HOUR}""",

@@ -31,6 +31,8 @@ from palisade.sources.load import reclassify
 from palisade.sources.syslog import parse_syslog
 from palisade.sources.winxml import parse_windows_xml
 from palisade.streaming import jobs
+from palisade.streaming.findings import StreamDetection
+from palisade.streaming.late import Arrivals
 from workload import adapter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -543,6 +545,54 @@ def stream_followed_by_login(spark, sf):
     return got.select("rule_id", "ip").distinct()
 
 
+def _event_files(spark, events: DataFrame, part: Column, parts: int) -> DataFrame:
+    """Events as a stream of files, written one after another."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for n in range(parts):
+        events.filter(part == n).coalesce(1).write.parquet(f"{folder}/{n}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def _detection(spark, sf, params, rules=BUILT_IN_RULES, daily=False) -> StreamDetection:
+    """Detection over all events in three batches, in no order of time."""
+    stream = StreamDetection(
+        spark, f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}", params, rules)
+    events = adapter.stored_events(spark, sf, daily)
+    stream.run(_event_files(spark, events, F.col("event_id") % 3, 3))
+    return stream
+
+
+def stream_findings(spark, sf):
+    """Whole findings of a stream, of all detectors."""
+    return _finding_view(_detection(spark, sf, ALLOWED, ()).detections().findings)
+
+
+def stream_evidence(spark, sf):
+    """What the findings of a stream rest on."""
+    return _detection(spark, sf, ALLOWED, ()).detections().evidence.groupBy("finding_id").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("id_sum"))
+
+
+def stream_chains(spark, sf):
+    """Chains of all five rules, found batch by batch."""
+    rules = tuple(
+        SequenceRule(**{**r.__dict__, "window_sec": 4 * r.window_sec}) for r in BUILT_IN_RULES
+    )
+    params = Params(
+        brute_force_window_sec=DAY, spray_window_sec=DAY, spray_threshold=12, priv_esc_per=("user",))
+    return _chains(_detection(spark, sf, params, rules, daily=True).correlation())
+
+
+def stream_late(spark, sf):
+    """Every event of a stream once: in time, late for windows of an hour, or without a time."""
+    events = adapter.stored_events(spark, sf)
+    kept = Arrivals(spark, f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}", events.schema, 5 * DAY, 3600)
+    # most events come in order of time, some with the last file
+    part = F.when(F.col("event_id") % 5 == 0, 3).otherwise(F.floor(F.dayofmonth("ts") / 11))
+    kept.run(_event_files(spark, events, F.coalesce(part, F.lit(1)), 4))
+    return kept.rows().select("event_id", "batch", "arrival")
+
+
 QUERIES: dict[str, Query] = {
     "syslog_parse": syslog_parse, "syslog_parse_text": syslog_parse_text,
     "cef_parse": cef_parse, "leef_parse": leef_parse, "json_parse": json_parse,
@@ -575,4 +625,6 @@ QUERIES: dict[str, Query] = {
     "stream_candidates": stream_candidates, "stream_enumeration": stream_enumeration,
     "stream_failed_sudo": stream_failed_sudo,
     "stream_followed_by_login": stream_followed_by_login,
+    "stream_findings": stream_findings, "stream_evidence": stream_evidence,
+    "stream_chains": stream_chains, "stream_late": stream_late,
 }
