@@ -130,11 +130,12 @@ def _doubled(hashes: Column, step: int) -> Column:
 
 def judged(
     docs: DataFrame, weights: np.ndarray, n: int = 3, threshold: float = -1.0,
-    least_words: int = 20, most_repeated_pct: int = 30, every_gram: bool = False,
+    least_words: int = 20, most_repeated_pct: int = 30, every_gram: bool = False, score_failed: bool = True,
 ) -> DataFrame:
     """docs and the column `rules`, a struct of n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, llr (per word, or n-gram) and kept.  every_gram: the
-    weights are those of gram_weights."""
+    weights are those of gram_weights.  score_failed=False gives no llr to documents that a base
+    rule fails: it couldn't keep them."""
     names = docs.columns
     text = F.coalesce(F.col("row.text"), F.lit(""))
     # folded to one constant of at most `buckets` numbers
@@ -152,12 +153,12 @@ def judged(
             lambda acc, w: acc + F.get(table, _bucket(w, len(weights), n)))
     h2 = _doubled(F.transform("w", lambda w: F.xxhash64(w)), 1)
     step = step.select(
-        "row", F.size("w").cast("long").alias("n_words"), total.alias("total"), n_grams.alias("n_grams"), h2.alias("h"),
+        "row", "w", F.size("w").cast("long").alias("n_words"), h2.alias("h"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
-    kept = ["row", "n_words", "total", "n_grams", "word_chars", "n_symbols", "n_dup_lines"]
+    kept = ["row", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     step = step.select(*kept, _doubled(F.col("h"), 2).alias("h"))
     step = step.select(*kept, F.slice(
         _doubled(F.col("h"), 4), 1, F.greatest(F.lit(0), F.col("n_words").cast("int") - WINDOW + 1)).alias("h"))
@@ -178,19 +179,24 @@ def judged(
     # the row number makes this step opaque: a filter on the result that moved down through
     # the steps would work out each of them many times over
     failed = failed & (F.monotonically_increasing_id() >= 0)
-    enough = F.col("total") >= F.col("n_grams") * int(round(threshold * SCALE))
+    step = step.select(*kept, "n_repeat_words", failed.alias("failed"))
+    asked = F.lit(True) if score_failed else ~F.col("failed")
+    step = step.select(*kept[2:], "row", "n_repeat_words", "failed", F.when(asked, total).alias("total"),
+                       F.when(asked, n_grams).alias("n_grams"))
+    enough = F.coalesce(F.col("total") >= F.col("n_grams") * int(round(threshold * SCALE)), F.lit(False))
     return step.select(
         *(F.col("row")[c].alias(c) for c in names),
         F.struct(
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            failed.alias("base_failed"),
+            F.col("failed").alias("base_failed"),
             (F.col("total") / SCALE / F.greatest("n_grams", F.lit(1))).alias("llr"),
-            (~failed & enough).alias("kept")).alias("rules of row"))
+            (~F.col("failed") & enough).alias("kept")).alias("rules of row"))
 
 
 def judged_by_grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs and the column `rules`, scored over all n-grams of the texts."""
-    return judged(docs, gram_weights(docs, trusted_ids(labels)), threshold=GRAM_THRESHOLD, every_gram=True)
+    return judged(docs, gram_weights(docs, trusted_ids(labels)), threshold=GRAM_THRESHOLD, every_gram=True,
+                  score_failed=False)
 
 
 def quality_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
