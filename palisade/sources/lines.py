@@ -2,7 +2,7 @@
 
 A line table has a `value` column and, where known, `source` and `event_id`.
 A log table that carries its own stable id (an offset, a sequence number)
-should pass it as `event_id`; file reads number the lines per partition.
+should pass it as `event_id`; lines of files get one from their place.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import strip
 from palisade.schema import EVENTS, conform
+from palisade.sources.places import place_id, placed_lines
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -22,28 +23,40 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= slots else df.repartition(slots)
 
 
-def read_lines(spark: SparkSession, paths, line_sep: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths, line_sep: str | None = None, stable_ids: bool = True) -> DataFrame:
     """Text files as a line table.  gz and bz2 are decompressed by the reader;
-    bytes that are not UTF-8 are replaced."""
-    reader = spark.read
-    if line_sep is not None:
-        reader = reader.option("lineSep", line_sep)
+    bytes that are not UTF-8 are replaced.  The id of a line is made of its file and byte
+    offset, so it doesn't depend on splits or on other files; `stable_ids=False` saves a pass
+    over the files and numbers the lines by partition."""
     names = [paths] if isinstance(paths, str) else list(paths)
-    df = reader.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("event_id"),
-    )
+    if stable_ids:
+        df = lines_with_ids(placed_lines(spark, paths, line_sep or "\n"), line_sep is None)
+    else:
+        reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+        df = reader.text(paths).select(
+            "value",
+            F.col("_metadata.file_path").alias("source"),
+            F.monotonically_increasing_id().alias("event_id"),
+        )
     # only compressed files cannot be split by the reader itself
     return spread(df) if any(n.lower().endswith((".gz", ".bz2")) for n in names) else df
 
 
+def lines_with_ids(placed: DataFrame, returns: bool = True) -> DataFrame:
+    """value, source, event_id of placed lines; `returns`: a carriage return ends a line, too."""
+    if not returns:
+        return placed.select("value", "source", place_id(F.col("source"), F.col("offset")).alias("event_id"))
+    line = F.rtrim(F.col("value"), F.lit("\r"))
+    parts = F.when(F.contains(line, F.lit("\r")), F.split(line, "\r")).otherwise(F.array(line))
+    return placed.select("source", "offset", F.posexplode(parts).alias("nr", "value")).select(
+        "value", "source", place_id(F.col("source"), F.col("offset") + F.col("nr")).alias("event_id"))
+
+
 def read_documents(spark: SparkSession, paths) -> DataFrame:
     """One row per file, for formats whose record is the whole file."""
+    source = F.col("_metadata.file_path")
     return spark.read.text(paths, wholetext=True).select(
-        "value",
-        F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("event_id"),
+        "value", source.alias("source"), place_id(source, F.lit(0)).alias("event_id"),
     )
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.plans.storage import stored
 from palisade.sources import csvlog, jsonlog, winxml
 from palisade.sources.cef import parse_cef_leef
-from palisade.sources.lines import read_documents, read_lines
+from palisade.sources.lines import lines_with_ids, read_documents, read_lines
+from palisade.sources.places import placed_lines
 from palisade.sources.syslog import classified, parse_syslog
 from palisade.schema import EVENTS, conform
 
@@ -39,22 +42,27 @@ FEW_FILES = 100_000
 def _load_json(spark: SparkSession, path) -> DataFrame:
     """Each `.json` file is read by lines unless its own first line is not a whole
     object by itself, so a folder may hold files of both kinds."""
-    lines = read_lines(spark, path)
+    placed = placed_lines(spark, path)
     whole = F.from_json("first", "map<string,string>").isNotNull() & F.startswith(
         F.btrim("first"), F.lit("{"))
     layout = (
-        lines.filter(F.btrim("value") != "").groupBy("source")
-        .agg(F.min_by("value", "event_id").alias("first"))
+        placed.filter(F.btrim("value") != "").groupBy("source")
+        .agg(F.min_by("value", "offset").alias("first"))
         .select("source", F.coalesce(whole, F.lit(False)).alias("by_line"))
     )
-    if layout.limit(FEW_FILES + 1).count() <= FEW_FILES:
+    layout = stored(layout)
+    few = layout.limit(FEW_FILES + 1).count() <= FEW_FILES
+    if few:
         layout = F.broadcast(layout)  # a row per file, counted
-    documents = read_documents(spark, path)
-    return jsonlog.parse_json_lines(
-        lines.join(layout.filter("by_line"), "source", "left_semi")
-    ).unionByName(jsonlog.parse_json_documents(
-        documents.join(layout.filter("not by_line"), "source", "left_semi")
-    ))
+    events = jsonlog.parse_json_lines(
+        lines_with_ids(placed.join(layout.filter("by_line"), "source", "left_semi")))
+    whole_files = layout.filter("not by_line").select("source")
+    if few:  # only documents are read as a whole: a file of lines may be far too large for a row
+        paths = [unquote(r["source"]) for r in whole_files.collect()]
+        documents = read_documents(spark, paths) if paths else None
+    else:
+        documents = read_documents(spark, path).join(whole_files, "source", "left_semi")
+    return events if documents is None else events.unionByName(jsonlog.parse_json_documents(documents))
 
 
 def load_events(
