@@ -544,6 +544,15 @@ SELECT event_id, event_type, severity, count(*) AS lines, sum(length(message))::
     "cef_parse": CEF, "leef_parse": LEEF, "json_parse": JSON,
     "json_document_parse": f"""WITH {base()} SELECT 1::BIGINT AS rows_of_id, event_type AS message, "user", ip,
   event_id::VARCHAR AS pid, row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS line_number FROM base""",
+    "files_load": f"""SELECT 'auth' AS file, event_type, severity, ts, host, "user", ip, message
+FROM ({events_ctes()} SELECT {EVENT_VIEW} FROM ev)
+UNION ALL SELECT 'gateway', event_type, severity, ts, host, "user", ip, message FROM ({CEF})
+UNION ALL SELECT 'gateway', event_type, severity, NULL, host, "user", ip, message FROM ({LEEF})
+UNION ALL SELECT 'app', event_type, severity, ts, host, "user", ip, message FROM ({JSON})""",
+    "files_ids": f"{events_ctes()} SELECT message, count(*) AS lines FROM ev GROUP BY message",
+    "files_csv": """SELECT CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || '"' || c_mktsegment || '"' || chr(10) || 'end'
+  ELSE c_name END AS message, c_name AS "user", '10.0.0.' || (c_custkey % 256) AS ip,
+  concat_ws(',', message, c_name, ip, c_custkey) AS raw FROM customer""",
     "csv_parse": _CUSTOMER, "windows_parse": WINDOWS,
     "reclassified": """SELECT 'auth_success' AS event_type, 'INFO' AS severity, role AS "user", '10.1.1.1' AS ip,
   count(*) AS n, sum(length('Accepted password for ' || role || ' from 10.1.1.1: ' || text))::BIGINT AS chars

@@ -25,9 +25,9 @@ from palisade.operators.windows import peak_window
 from palisade.plans.storage import shared_folder, stored
 from palisade.schema import micros
 from palisade.sources.cef import parse_cef, parse_leef
-from palisade.sources.csvlog import parse_csv
+from palisade.sources.csvlog import parse_csv, read_csv
 from palisade.sources.jsonlog import parse_json_documents, parse_json_lines
-from palisade.sources.load import reclassify
+from palisade.sources.load import load_events, load_many, reclassify
 from palisade.sources.syslog import parse_syslog
 from palisade.sources.winxml import parse_windows_xml
 from palisade.streaming import jobs
@@ -143,6 +143,52 @@ def csv_parse(spark, sf):
     return _event_view(parse_csv(rows))
 
 
+def _written_files(spark, **tables) -> str:
+    """Tables of lines as folders of text files; the name says format and compression."""
+    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    for name, (ending, compression, rows) in tables.items():
+        rows.select("value").write.text(f"{folder}/{name}{ending}", compression=compression)
+    return folder
+
+
+def files_load(spark, sf):
+    """Log files of three formats, two of them compressed, each read by its name."""
+    base = adapter.base(spark, sf)
+    folder = _written_files(
+        spark, auth=(".log.gz", "gzip", adapter.syslog_lines(base)), gateway=(".cef", "none", adapter.cef_lines(base)),
+        app=(".jsonl.bz2", "bzip2", adapter.json_lines(base)))
+    got = load_many(spark, [f"{folder}/{n}" for n in ("auth.log.gz", "gateway.cef", "app.jsonl.bz2")], year=adapter.YEAR)
+    return _micros(got, "ts").select(
+        F.regexp_extract("source", "/(auth|gateway|app)[.]", 1).alias("file"), "event_type", "severity", "ts", "host",
+        "user", "ip", "message")
+
+
+def files_ids(spark, sf):
+    """Ids of log lines under two split sizes: equal, all different."""
+    folder = _written_files(spark, auth=(".log", "none", adapter.syslog_lines(adapter.base(spark, sf))))
+    read = lambda: load_events(spark, f"{folder}/auth.log", year=adapter.YEAR).select("event_id", "message")
+    whole, known = stored(read()), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))
+        parts = stored(read())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", known)
+    return whole.join(parts, ["event_id", "message"], "left").groupBy("message").agg(
+        F.count_distinct("event_id").alias("lines"))
+
+
+def files_csv(spark, sf):
+    """Quoted values with line ends and quotation marks, from files that are split as other text."""
+    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}/customers.csv"
+    name, segment, key = F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey")
+    adapter.table(spark, sf, "customer").select(
+        F.when(key % 3 == 0, F.concat(name, F.lit('\n"'), segment, F.lit('"\nend'))).otherwise(name).alias("msg"),
+        name.alias("username"), F.concat(F.lit("10.0.0."), key % 256).alias("src_ip"), key.cast("string").alias("extra"),
+    ).write.csv(folder, header=True, quote='"', escape='"')
+    events = parse_csv(read_csv(spark, folder))
+    return events.select("message", "user", "ip", "raw")
+
+
 def windows_parse(spark, sf):
     got = parse_windows_xml(adapter.windows_documents(adapter.base(spark, sf)))
     return _event_view(got).drop("pid")
@@ -597,6 +643,7 @@ QUERIES: dict[str, Query] = {
     "syslog_parse": syslog_parse, "syslog_parse_text": syslog_parse_text,
     "cef_parse": cef_parse, "leef_parse": leef_parse, "json_parse": json_parse,
     "json_document_parse": json_document_parse, "csv_parse": csv_parse,
+    "files_load": files_load, "files_ids": files_ids, "files_csv": files_csv,
     "windows_parse": windows_parse, "reclassified": reclassified,
     "filter_severity": filter_severity, "filter_keyword": filter_keyword,
     "filter_type": filter_type, "filter_limit": filter_limit, "event_export": event_export,
