@@ -238,7 +238,7 @@ f_login AS (SELECT *, 50 AS finding_rank, 'auth_success' AS rule_id, 'INFO' AS s
     columns = 'finding_id, event_id, event_type, severity, ts, source, host, process, pid, "user", ip, message, raw'
     evidence = " UNION ALL ".join(f"SELECT {columns} FROM e_{t}" for t in tags)
     return f"""{brute}, {sprays}, {probes}, {priv}, {login},
-found AS ({findings}), found_evidence AS ({evidence})"""
+found AS MATERIALIZED ({findings}), found_evidence AS MATERIALIZED ({evidence})"""
 
 
 def _all_in(lists: str, values) -> str:
@@ -252,8 +252,8 @@ def case(p=None, daily: bool = False, per: str = "''") -> str:
     p = p or q.WIDE
     listed = f"({_all_in('ips', p.allowed_ips)} OR {_all_in('users', p.allowed_users)})"
     return f"""{events_ctes(daily)}, {detectors(p, per)},
-findings AS (SELECT * FROM found WHERE NOT {listed}),
-evidence AS (SELECT * FROM found_evidence SEMI JOIN findings USING (finding_id))"""
+findings AS MATERIALIZED (SELECT * FROM found WHERE NOT {listed}),
+evidence AS MATERIALIZED (SELECT * FROM found_evidence SEMI JOIN findings USING (finding_id))"""
 
 
 def finding_view(where: str, more: str = "") -> str:
