@@ -45,9 +45,9 @@ from palisade.plans.storage import stored
 SHINGLE, LEAST_PCT = 3, 90
 SHARED, MORE = 8, 32  # two similar sets of n tokens and more share SHARED + n // MORE first tokens
 PART = 1 << 18  # tokens that a task compares at once, but for one longer set
-SKETCH_BITS, CHUNKS = 20, 64
+SKETCH_BITS, CHUNKS = 22, 64
 MOST_BITS = 27  # of the bitmap of tokens that occur again
-ROUNDS = 2  # in which sets with too few shared tokens leave
+ROUNDS = 3  # in which sets with too few shared tokens leave
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
@@ -211,29 +211,46 @@ def _bitmap(tokens: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _repeated(first: DataFrame) -> DataFrame:
-    """The rows of first whose token other rows have too, and a few more: what shares a bit with these."""
+def _pruned(first: DataFrame, least_pct: int) -> DataFrame:
+    """The rows of first whose token other rows have too, of sets that keep enough of them; and a few more:
+    tokens that share a bit with such ones, and the sets at the edges of a task, whose rows it may not have all.
+    The rows of a set stand together, so only counts of tokens are shuffled."""
     shared = stored(first.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"))
     bits = min(MOST_BITS, max(16, int(64 * shared.count()).bit_length()))
     bitmap = first.sparkSession.sparkContext.broadcast(_bitmap(shared, bits))  # MOST_BITS bound it
 
+    def able(rows: pd.DataFrame, edge: bool) -> pd.DataFrame:
+        """Without the sets that have too few rows; edge: the first one may have more in another task."""
+        mark = rows["f1"].to_numpy(), rows["f2"].to_numpy()
+        begins = np.flatnonzero(np.concatenate(([True], (mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1]))))
+        size = np.diff(np.append(begins, len(rows)))
+        n = rows["n"].to_numpy()[begins]
+        keep = size >= SHARED + -(-least_pct * n // 100) // MORE
+        keep[0] |= edge
+        return rows[np.repeat(keep, size)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, start = None, True
         for batch in batches:
             at = batch["token"].to_numpy(np.int64) & ((1 << bits) - 1)
-            yield batch[(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            rows = batch[(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            rows = rows if rest is None else pd.concat([rest, rows])
+            if not len(rows):
+                continue
+            # the set that may go on stays behind
+            f1, f2 = rows["f1"].to_numpy(), rows["f2"].to_numpy()
+            going = (f1 == f1[-1]) & (f2 == f2[-1])
+            going[:len(going) - np.argmin(going[::-1])] = going.all()
+            rest, done = rows[going], rows[~going]
+            if len(done):
+                yield able(done, start)
+                start = False
+        if rest is not None and len(rest):
+            yield rest
 
     return first.mapInPandas(run, first.schema)
 
 
-def _pruned(matrix: DataFrame, least_pct: int) -> DataFrame:
-    """Rows of sets with enough tokens that they share, and of tokens that several of these have."""
-    able = matrix.groupBy("f1", "f2", "n").agg(F.count("*").alias("m")).where(
-        F.col("m") >= shared_first(F.col("n"), least_pct)).select("f1", "f2")
-    left = stored(matrix.join(able, ["f1", "f2"]).select(*matrix.columns))
-    tokens = left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    return stored(left.join(tokens, "token").select(*matrix.columns))
-
-
 def _sets(narrow: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """f1, f2, tokens (8 bytes each, sorted) of the documents k1, k2 of rows."""
 
@@ -380,7 +397,7 @@ def _to_ask(matrix: DataFrame, members: DataFrame, least_pct: int) -> DataFrame:
     held = matrix.select("token", "f1", "f2").join(members.select(
         "f1", "f2", "n", "label", F.col("ord").alias("home"), F.col("part").alias("at")), ["f1", "f2"])
     enough = shared_first(F.col("n"), least_pct)
-    for _ in range(ROUNDS):  # sets that still have enough tokens whose holders are in several classes and groups
+    for _ in range(2):  # sets that still have enough tokens whose holders are in several classes and groups
         several = held.groupBy("token").agg(
             F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.struct("home", "at")).alias("c"),
             F.max(F.struct("home", "at")).alias("d"), F.count("*").alias("df")).where("a != b and c != d")
@@ -410,9 +427,10 @@ def _to_ask(matrix: DataFrame, members: DataFrame, least_pct: int) -> DataFrame:
 
 def linked_sets(narrow: DataFrame, own: DataFrame, levels: np.ndarray, shingle: int, least_pct: int, part: int) -> DataFrame:
     """f1, f2, label (of the class) of the sets that share enough first tokens with others."""
-    matrix = stored(_repeated(stored(_first_tokens(narrow, levels, shingle, least_pct))).distinct())
+    matrix = stored(_first_tokens(narrow, levels, shingle, least_pct))
     for _ in range(ROUNDS):
-        matrix = _pruned(matrix, least_pct)
+        matrix = stored(_pruned(matrix, least_pct))
+    matrix = stored(matrix.distinct())
     # groups, split where they hold too many tokens for a task
     sizes = matrix.groupBy("token").agg(F.count("*").alias("df"))
     sets = matrix.join(sizes, "token").groupBy("f1", "f2", "n").agg(
