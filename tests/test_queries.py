@@ -17,7 +17,7 @@ QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 CHECKED = (
     "syslog_parse", "cef_parse", "leef_parse", "json_parse", "windows_parse", "filter_limit",
     "peak_distinct", "brute_force", "password_spray", "priv_esc", "allowlist_events", "geo_enrich",
-    "correlate_reference", "report_timeline", "stream_logins",
+    "correlate_reference", "report_timeline", "stream_logins", "files_load", "files_csv", "stream_late",
 )
 
 
