@@ -598,6 +598,11 @@ UNION ALL SELECT 'app', event_type, severity, ts, host, "user", ip, message FROM
     "geo_enrich": f"""{events_ctes()}, {_RANGE} SELECT event_id, ip, substr(n_name, 1, 2) AS country, n_name AS country_name,
   lower(n_name) AS city, n::DOUBLE AS latitude, (-n)::DOUBLE AS longitude, (n + 64512)::INTEGER AS asn,
   'net ' || n_name AS asn_org FROM addr LEFT JOIN r ON num BETWEEN s AND s + 2""",
+    "geo_prefixes": """WITH a AS (SELECT event_id, user_id % 4 AS net, user_id % 20 AS host FROM events)
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '2001:db8:' || net || ':' || lower(to_hex(host)) || '::7'
+  ELSE '10.0.' || net || '.' || host END AS ip, coalesce(narrow.n_name, wide.n_name) AS name
+FROM a LEFT JOIN nation wide ON wide.n_nationkey = net
+LEFT JOIN nation narrow ON narrow.n_nationkey = host AND narrow.n_nationkey BETWEEN 4 AND 19 AND host % 4 = net""",
     "own_detector": case() + finding_view(
         "rule_id = 'enumeration' OR (rule_id = 'auth_success' AND users[1] = 'u1')"),
     "own_enricher": f"""{events_ctes()}, {_RANGE}, x AS (SELECT ip, n_name, host

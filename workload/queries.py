@@ -20,6 +20,7 @@ from palisade.operators.enrich import enrich, enrich_geo
 from palisade.operators.filters import (
     at_least, event_columns, filter_events, flat_findings, without_info,
 )
+from palisade.operators.prefixes import enrich_prefixes
 from palisade.operators.sources_of_attack import brute_force, enumeration, password_spray
 from palisade.operators.windows import peak_window
 from palisade.plans.storage import shared_folder, stored
@@ -639,6 +640,23 @@ def stream_late(spark, sf):
     return kept.rows().select("event_id", "batch", "arrival")
 
 
+def geo_prefixes(spark, sf):
+    """Addresses of both kinds in nested prefixes, of which the longest counts."""
+    base, n = adapter.table(spark, sf, "events"), F.col("n_nationkey")
+    net, host = F.col("user_id") % 4, F.col("user_id") % 20
+    six = F.concat(F.lit("2001:db8:"), net, F.lit(":"), F.lower(F.hex(host)), F.lit("::7"))
+    events = base.select("event_id", F.when(F.col("event_id") % 2 == 0, six).otherwise(
+        F.concat_ws(".", F.lit("10.0"), net, host)).alias("ip"))
+    wide, narrow = n < 4, (n >= 4) & (n < 20)
+    prefixes = adapter.table(spark, sf, "nation").select("n_name", F.explode(F.array(
+        F.when(wide, F.concat(F.lit("2001:db8:"), n, F.lit("::/48"))).when(
+            narrow, F.concat(F.lit("2001:db8:"), n % 4, F.lit(":"), F.lower(F.hex(n)), F.lit("::/64"))),
+        F.when(wide, F.concat(F.lit("10.0."), n, F.lit(".0/24"))).when(
+            narrow, F.concat(F.lit("10.0."), n % 4, F.lit("."), n, F.lit("/32"))))).alias("prefix")).select(
+        "prefix", F.lit(0).alias("asn"), F.col("n_name").alias("asn_org"))
+    return enrich_prefixes(events, asn=prefixes).select("event_id", "ip", F.col("geoip.asn_org").alias("name"))
+
+
 QUERIES: dict[str, Query] = {
     "syslog_parse": syslog_parse, "syslog_parse_text": syslog_parse_text,
     "cef_parse": cef_parse, "leef_parse": leef_parse, "json_parse": json_parse,
@@ -655,7 +673,7 @@ QUERIES: dict[str, Query] = {
     "priv_esc_evidence": priv_esc_evidence, "auth_success": auth_success_query,
     "detect_all": detect_all, "detect_one_rule": detect_one_rule,
     "allowlist_events": allowlist_events, "allowlist_findings": allowlist_findings,
-    "allowlist_table": allowlist_table, "geo_enrich": geo_enrich,
+    "allowlist_table": allowlist_table, "geo_enrich": geo_enrich, "geo_prefixes": geo_prefixes,
     "own_detector": own_detector, "own_enricher": own_enricher,
     "correlation_off": correlation_off, "report_written": report_written,
     "correlate_reference": correlate_reference, "correlate_evidence": correlate_evidence,
