@@ -18,6 +18,11 @@ _MAPPED = "0" * 20 + "ffff"
 _TAIL = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), the value being worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _v6_digits(ip: Column) -> Column:
     """The 32 hex digits of an IPv6 address, null for anything else."""
     tail = ip_number(F.regexp_extract(ip, rx(_TAIL), 0))
@@ -26,31 +31,40 @@ def _v6_digits(ip: Column) -> Column:
     # a dotted tail stands for two groups
     plain = F.when(quad, F.concat(
         F.regexp_replace(ip, rx(_TAIL), ""), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4))).otherwise(ip)
-    halves = F.split(plain, "::")
+    return _let(F.split(plain, "::"), _joined)
 
+
+def _joined(halves: Column) -> Column:
     def groups(half: Column) -> Column:
         return F.when((half.isNull()) | (half == ""), F.array().cast("array<string>")).otherwise(F.split(half, ":"))
 
     left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    given = F.size(left) + F.size(right)
-    gap = F.size(halves) == 2
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
-    valid = (F.size(halves) <= 2) & F.when(gap, given <= 7).otherwise(given == 8) & F.forall(
-        every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(valid, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+    parts = F.struct(left.alias("left"), right.alias("right"), F.size(halves).alias("halves"))
+
+    def filled(p: Column) -> Column:
+        given = F.size(p["left"]) + F.size(p["right"])
+        every = F.concat(p["left"], F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), p["right"])
+        return F.when((p["halves"] <= 2) & F.when(p["halves"] == 2, given <= 7).otherwise(given == 8), every)
+
+    def digits(every: Column) -> Column:
+        return F.when(F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                      F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return _let(_let(parts, filled), digits)
 
 
 def address_bits(ip: Column) -> Column:
     """The 128 bits of an address as text of 0 and 1, null for what is none.  A zone (%eth0) is left out."""
     text = F.lower(F.regexp_replace(strip(ip), "%.*$", ""))
-    v4 = ip_number(text)
-    digits = F.when(v4.isNotNull(), F.concat(F.lit(_MAPPED), F.lpad(F.lower(F.hex(v4)), 8, "0"))).when(
-        F.contains(text, F.lit(":")), _v6_digits(text))
 
-    def half(start: int) -> Column:
-        return F.lpad(F.conv(F.substring(digits, start, 16), 16, 2), 64, "0")
+    def digits(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(":")), _v6_digits(t)).otherwise(
+            _let(ip_number(t), lambda n: F.concat(F.lit(_MAPPED), F.lpad(F.lower(F.hex(n)), 8, "0"))))
+
+    def half(hexed: Column, start: int) -> Column:
+        return F.lpad(F.conv(F.substring(hexed, start, 16), 16, 2), 64, "0")
 
-    return F.concat(half(1), half(17))
+    return _let(_let(text, digits), lambda d: F.concat(half(d, 1), half(d, 17)))
 
 
 def prefix_key(cidr: Column) -> tuple[Column, Column]:
