@@ -136,9 +136,16 @@ def _bits_for(count: int) -> int:
     return max(16, int(np.ceil(np.log2(max(1, count) * 16))))
 
 
+# a value sets two bits, named by its own bits from these on; two probes let through far fewer others than one
+PROBES = (0, 30)
+
+
 def _in_bitmap(bitmap: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
-    slot = values & np.uint64((1 << bits) - 1)
-    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    found = np.ones(len(values), bool)
+    for shift in PROBES:
+        slot = (values >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        found &= (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return found
 
 
 def _bitmap(recurring: DataFrame, bits: int) -> np.ndarray:
@@ -150,8 +157,8 @@ def _bitmap(recurring: DataFrame, bits: int) -> np.ndarray:
         own[rows["slot"].to_numpy() & ((1 << segment) - 1)] = 1
         return pd.DataFrame({"segment": rows["segment"][:1], "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
-    slot = F.col("anchor").bitwiseAND((1 << bits) - 1)
-    rows = (recurring.select(slot.alias("slot")).select("slot", F.shiftright("slot", segment).alias("segment"))
+    slots_of = F.array(*(F.shiftrightunsigned("anchor", x).bitwiseAND((1 << bits) - 1) for x in PROBES))
+    rows = (recurring.select(F.explode(slots_of).alias("slot")).select("slot", F.shiftright("slot", segment).alias("segment"))
             .groupBy("segment").applyInPandas(pack, "segment long, bits binary").toPandas())
     whole = np.zeros((1 << bits) // 8, np.uint8)
     for number, packed in zip(rows["segment"], rows["bits"], strict=True):
