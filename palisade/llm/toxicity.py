@@ -11,7 +11,7 @@ reporting less still; an address ("you") in the window makes it count more.  Evi
 adds up (noisy or), quoted hits only count as the strongest of them.
 
 The labelled rows are bounded (`rows`, by the order of a hash of the id); words are counted by
-partial sums, and a bounded number of candidates reaches the driver.  Scoring is row by row; a task remembers
+partial sums, and only terms with enough evidence reach the driver.  Words count whole, however long.  Scoring is row by row; a task remembers
 beginnings of tokens that no term is near, up to a fixed number.
 
 Edge cases: null and empty texts score the base rate; repeated rows get a row each; without labels
@@ -77,65 +77,73 @@ def _families(toxic: DataFrame) -> dict[int, int]:
     return {r["key"]: find(r["key"]) for r in rows}
 
 
-def _candidates(toxic: DataFrame, least: int, most: int) -> tuple[dict[str, tuple[int, list[int]]], int]:
-    """Terms of at least `least` toxic texts: distinct words they stand in, summed over texts, and
-    the texts; at most `most` terms, those with most words.  And the number of all terms."""
+def _terms(texts: DataFrame) -> DataFrame:
+    """term, key, words: distinct words a term stands in, for every text and the terms of its whole words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, text in zip(batch["key"], batch["text"], strict=True):
-                found = Counter(s for t in set(TOKEN.findall((text or "").lower())) for s in _stems(t[:64]))
+                found = Counter(s for t in set(TOKEN.findall((text or "").lower())) for s in _stems(t))
                 if found:  # a frame without rows has no column types
                     yield pd.DataFrame({"term": list(found), "key": key, "words": list(found.values())})
 
-    terms = cut(toxic.mapInPandas(run, "term string, key long, words long")
-                .groupBy("term").agg(F.sum("words").alias("words"), F.collect_list("key").alias("keys")))
-    rows = terms.where(F.size("keys") >= least).orderBy(F.desc("words"), "term").limit(most).collect()
-    return {r["term"]: (r["words"], r["keys"]) for r in rows}, terms.count()
+    return texts.mapInPandas(run, "term string, key long, words long")
 
 
-def _others(other: DataFrame, terms: frozenset[str]) -> dict[str, int]:
-    """Texts that aren't toxic, by term."""
+def _misses(other: DataFrame) -> DataFrame:
+    """term, misses: the texts that aren't toxic, by term; summed by batch first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: Counter = Counter()
             for text in batch["text"]:
-                seen.update({s for t in set(TOKEN.findall((text or "").lower())) for s in _stems(t[:64])} & terms)
+                seen.update({s for t in set(TOKEN.findall((text or "").lower())) for s in _stems(t)})
+                if len(seen) >= REMEMBERED:
+                    yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+                    seen = Counter()
             if seen:
                 yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
-    rows = other.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {r["term"]: r["n"] for r in rows}
+    return other.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("misses"))
 
 
-def lexicon(toxic: DataFrame, other: DataFrame, least: int = 3, precision: float = 0.9,
-            terms: int = 500, candidates: int = 50_000) -> dict[str, float]:
+def lexicon(toxic: DataFrame, other: DataFrame, least: int = 3, precision: float = 0.9) -> dict[str, float]:
     """Terms (stems, or words that end in $) and their weights, from texts of both kinds
     (key, text).  A term needs so much evidence that among all terms of toxic texts
-    less than one would have it by chance.  A stem stands for the longer ones, and is itself
-    lengthened as long as that loses few texts."""
+    less than one would have it by chance; only terms that have it leave Spark.  A stem stands for the
+    longer ones, and is itself lengthened as long as that loses few texts."""
     n_toxic, n_other = toxic.count(), other.count()
     if not n_toxic or not n_other:
         return {}
-    found, tried = _candidates(toxic, least, candidates)
-    families = _families(toxic)
-    misses = _others(other, frozenset(found))
+    # two numbers for each row of the bounded sample
+    families = toxic.sparkSession.createDataFrame(list(_families(toxic).items()), "key long, family long")
+    found = cut(_terms(toxic).join(F.broadcast(families), "key").groupBy("term").agg(
+        F.sum("words").alias("words"), F.count("*").alias("texts"), F.count_distinct("family").alias("own")))
+    tried = found.count()
     per_word = math.log((n_toxic + n_other) / n_toxic)
-    support: dict[str, int] = {}
-    for term, (words, keys) in found.items():
-        own = len({families[k] for k in keys})
-        proof = per_word * words * own / len(keys)
-        if own >= least and own >= precision * (own + misses.get(term, 0)) and proof >= math.log(tried):
-            support[term] = own
+    proof = F.lit(per_word) * F.col("words") * F.col("own") / F.col("texts")
+    rows = (
+        found.where((F.col("own") >= least) & (proof >= math.log(tried or 1)))
+        .join(_misses(other), "term", "left").fillna(0, "misses")
+        .where(F.col("own") >= precision * (F.col("own") + F.col("misses")))
+        .select("term", "own", "misses").collect()
+    )
+    support = {r["term"]: r["own"] for r in rows}
+    misses = {r["term"]: r["misses"] for r in rows}
     chosen: dict[str, float] = {}
+    names = sorted(support)
     for term in sorted(support, key=lambda t: (len(t), t)):
         if any(term[:k] in support for k in range(1, len(term))):
             continue
-        longer = [t for t in support if t.startswith(term) and support[t] >= 0.9 * support[term]]
+        longer = []
+        for name in names[bisect.bisect_left(names, term):]:
+            if not name.startswith(term):
+                break
+            if support[name] >= 0.9 * support[term]:
+                longer.append(name)
         best = max(longer, key=lambda t: (len(t), support[t], t))
-        chosen[best] = (support[best] + 1) / (support[best] + misses.get(best, 0) + 1.1)
-    return dict(sorted(chosen.items(), key=lambda x: (-support[x[0]], x[0]))[:terms])
+        chosen[best] = (support[best] + 1) / (support[best] + misses[best] + 1.1)
+    return chosen
 
 
 class Trie:
@@ -143,16 +151,21 @@ class Trie:
 
     def __init__(self, weights: dict[str, float], exact_only: frozenset[str] = frozenset()):
         self.root: dict = {}
-        self.most = 0
+        self.most, self.longest = 0, 0
         for term, weight in weights.items():
             node, letters = self.root, term.rstrip("$")
             allowed = 0 if len(letters) < 5 or term in exact_only else 1
-            self.most = max(self.most, allowed)
+            self.most, self.longest = max(self.most, allowed), max(self.longest, len(letters))
             for letter in letters:
                 node = node.setdefault(letter, {})
             # key 1: (term, weight, edits allowed, only as a whole word)
             node.setdefault(1, []).append((term, weight, allowed, term.endswith("$")))
 
+    def told(self, token: str) -> str:
+        """The letters that decide about a token: behind them no stem ends within the edits allowed, and a
+        token of more letters than these is as far from every whole word as these are."""
+        return token[:self.longest + self.most + 1]
+
     def _walk(self, token: str) -> Iterator[tuple[dict, list[int]]]:
         """Nodes and the edit distances from their letters to every beginning of the token, as
         long as one of them is within the bound."""
@@ -180,6 +193,7 @@ class Trie:
     def nearest(self, token: str) -> tuple[str, float, int] | None:
         """The term that fits best (fewest edits, then heaviest): term, weight, edits."""
         best: tuple[int, float, str] | None = None
+        token = self.told(token)
         for node, row in self._walk(token):
             for term, weight, allowed, whole in node.get(1, ()):
                 edits = row[-1] if whole else min(row)  # a stem may be followed by anything
@@ -232,6 +246,7 @@ class Scorer:
                 may = self.heads[head] = self.trie.may_begin(head)
             if not may:
                 return None
+        token = self.trie.told(token)
         if token not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -240,7 +255,7 @@ class Scorer:
 
     def hits(self, lowered: str) -> dict[str, tuple[str, float, int]]:
         """The distinct tokens of a text that are terms: term, weight, edits."""
-        found = ((token, self._term(token[:64])) for token in set(TOKEN.findall(lowered)))
+        found = ((token, self._term(token)) for token in set(TOKEN.findall(lowered)))
         return {token: hit for token, hit in found if hit is not None}
 
     def score(self, text: str | None) -> tuple[float, int, int, int]:

@@ -118,3 +118,22 @@ def test_ties_follow_the_tokenizer(vocabulary, text, byte_pieces):
 
 def test_empty_table(empty):
     assert token_counts.token_counts(empty, f"{queries.TOKENIZERS}/piece_bpe_32k.model").count() == 0
+
+
+def test_long_tokens_are_judged_whole():
+    scorer = toxicity.Scorer({"a" * 64 + "$": 0.9, "idiot$": 0.9, "scumm": 0.9}, 0.02)
+    assert scorer.score("a" * 64)[1] == 1 and scorer.score("a" * 65)[1:3] == (1, 1)
+    assert scorer.score("a" * 70)[1] == 0 and scorer.score("a" * 64 + "zebra")[1] == 0
+    assert scorer.score("idiot" + "x" * 100)[1] == 0 and scorer.score("scumm" + "x" * 100)[1] == 1
+
+
+def test_rare_terms_stay_beside_very_many_others(spark):
+    """60 000 words stand in several toxic texts each, and in as many others."""
+    words = [f"w{i:05x}q" for i in range(60_000)]
+    lines = [" ".join(words[i::20]) for i in range(20)]
+    toxic = [f"{line} {j} uniq{j}x" for j, line in enumerate(lines * 4)] + [f"zorgon {j} own{j}y text{j}z" for j in range(30)]
+    other = [f"{line} {j} uniq{j}x" for j, line in enumerate(lines * 4)] + ["plain"] * 40
+    frame = lambda texts, first: spark.createDataFrame(
+        [(first + i, t) for i, t in enumerate(texts)], "key long, text string").repartition(4)
+    got = toxicity.lexicon(frame(toxic, 0), frame(other, 1000))
+    assert any(t.startswith("zor") for t in got) and not any(t.startswith("w0") for t in got)
