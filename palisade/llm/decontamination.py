@@ -16,7 +16,8 @@ document, start), which no frequent term can make large.
 
 Edge cases: null texts and texts without a word have no hits and n_words 0; an item without
 a word has no window; an item of fewer words than a window is one window; items that
-repeat an id count once; repeated rows of documents get the same result each; a table without
+repeat an id count once; the windows of an item without an id count for the words and the verdict of
+a document, but the item is in no list of ids; repeated rows of documents get the same result each; a table without
 items gives no hits; other columns are ignored or kept.
 """
 
@@ -52,7 +53,7 @@ def windows(items: DataFrame, length: int = 10) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - length, F.lit(0)))
     return (
         items.select(F.col("item_id").cast("string").alias("item_id"), token.alias("w"))
-        .where("size(w) > 0 and item_id is not null")
+        .where("size(w) > 0")
         .select("item_id", "w", F.explode(starts).alias("s"))
         .select("item_id", F.slice("w", F.col("s") + 1, F.lit(length)).alias("phrase"))
         .select(F.xxhash64("phrase").alias("window_id"), "item_id", "phrase").distinct()

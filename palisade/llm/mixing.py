@@ -1,6 +1,8 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a fixed 60-bit hash.  A source whose target is f times its
+Every document has a fixed 60-bit hash of its id, text and source and, if rows repeat these, the number
+of the copy.  Copies are numbered by sums over the partitions they stand in, so a row that fills a
+third of the table is in no single task.  A source whose target is f times its
 size takes floor(f) copies of all its documents and one more of those whose hash
 is below the source's threshold.  The threshold is found without sorting: sizes
 are summed by source and the leading 12 bits of the hash, the bucket that crosses the
@@ -15,8 +17,8 @@ is the maximum over prefixes of the sources ordered by cap * size / weight of
 (all - caps in the prefix) / (weights after it): each such quotient is a lower bound,
 and the prefix of the capped sources attains it.
 
-Edge cases: a null text has size 0; documents of one id share a hash and are
-taken together; sources without words have target 0 and are not taken; an empty table
+Edge cases: a null text has size 0; null and repeated ids are told apart by text and number of
+the copy, which copy has which number is left open; sources without words have target 0 and are not taken; an empty table
 gives an empty result; other columns are ignored or kept as they are.
 """
 
@@ -33,12 +35,46 @@ HASH_BITS = 60
 LEVEL_BITS = 12
 
 
-def hash_of(doc_id: Column) -> Column:
-    """The first 15 hex digits of the md5 of the id as text."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15)
+def identity_of(docs: DataFrame) -> Column:
+    """What names a row of docs by its id, text and source."""
+    return F.concat_ws(
+        "|", F.coalesce(docs["doc_id"].cast("string"), F.lit("")),
+        *(F.coalesce(F.md5(docs[c].cast("string")), F.lit("")) for c in ("text", "source")))
+
+
+def hash_of(identity: Column, copy: Column) -> Column:
+    """The first 15 hex digits of the md5 of a row's identity and number of the copy."""
+    digits = F.substring(F.md5(F.concat(identity, F.lit("|"), copy.cast("string"))), 1, 15)
     return F.conv(digits, 16, 10).cast("long")
 
 
+def hashed(rows: DataFrame, identity: Column) -> DataFrame:
+    """rows and their `hash of row`.  Only rows that repeat an identity are written and shuffled: each gets the number of
+    such rows in earlier partitions and its number among those of its own."""
+    named = rows.withColumn("identity of row", identity)
+    repeated = small_side(named.groupBy("identity of row").agg(F.count("*").alias("n"))
+                          .where("n > 1").select(F.col("identity of row").alias("repeated")))
+    same = F.col("identity of row") == F.col("repeated")
+    one = hash_of(F.col("identity of row"), F.lit(0)).alias("hash of row")
+    if repeated.isEmpty():
+        return named.select(*rows.columns, one)
+    # written once, as another plan may put rows in other partitions
+    placed = cut(named.join(repeated, same, "left_semi").withColumn("part of row", F.spark_partition_id()))
+    inside = Window.partitionBy("identity of row", "part of row").orderBy(F.lit(0))
+    before = Window.partitionBy("i").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(  # a row per identity and partition
+        placed.groupBy(F.col("identity of row").alias("i"), F.col("part of row").alias("p"))
+        .agg(F.count("*").alias("n"))
+        .select("i", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    copies = (
+        placed.withColumn("place of row", F.row_number().over(inside) - 1)
+        .join(parts, (F.col("identity of row") == F.col("i")) & (F.col("part of row") == F.col("p")))
+        .select(*rows.columns, hash_of(
+            F.col("identity of row"), F.col("before") + F.col("place of row")).alias("hash of row"))
+    )
+    return named.join(repeated, same, "left_anti").select(*rows.columns, one).unionByName(copies)
+
+
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -120,33 +156,33 @@ def plan(narrow: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3)
         F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
-def _copies() -> Column:
-    return F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
-
-
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"),
-                       hash_of(F.col("doc_id")).alias("hash"))
+    """doc_id, source, size, hash of every row, computed once."""
+    rows = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"),
+                           identity_of(docs).alias("identity")))
+    return cut(hashed(rows, F.col("identity")).select(
+        "doc_id", "source", "size", F.col("hash of row").alias("hash")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
-    narrow = cut(_narrow(docs))
+    narrow = _narrow(docs)
     by_source = small_side(plan(narrow, weights, cap))
+    copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
     return narrow.join(by_source, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 def mixed_documents(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
 ) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns
-    of docs.  The decision is made row by row; no text is shuffled."""
-    by_source = small_side(plan(cut(_narrow(docs)), weights, cap).select(
-        F.struct("s", "whole", "threshold").alias("p")))
-    p = by_source["p"]
-    copies = p["whole"] + (hash_of(docs["doc_id"]) < p["threshold"]).cast("long")
-    joined = docs.join(by_source, docs["source"].eqNullSafe(p["s"]))
+    of docs.  The decision is made row by row; only texts of repeated rows are shuffled."""
+    by_source = small_side(plan(_narrow(docs), weights, cap).select(
+        F.struct("s", "whole", "threshold").alias("plan of row")))
+    rows = hashed(docs, identity_of(docs))
+    p = F.col("`plan of row`")
+    copies = p["whole"] + (F.col("hash of row") < p["threshold"]).cast("long")
+    joined = rows.join(by_source, F.col("source").eqNullSafe(p["s"]))
     repeated = F.explode(F.array_repeat(F.lit(1), copies.cast("int")))
-    return joined.select(*(docs[c] for c in docs.columns), repeated.alias("copy of row")).select(
-        *docs.columns)
+    return joined.select(*docs.columns, repeated.alias("copy of row")).select(*docs.columns)

@@ -42,7 +42,7 @@ FROM s
 
 OP4 = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS4} AS w FROM documents),
-i AS MATERIALIZED (SELECT item_id::VARCHAR AS item_id, {_WORDS4} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS MATERIALIZED (SELECT item_id::VARCHAR AS item_id, {_WORDS4} AS w FROM benchmark),
 iw AS MATERIALIZED (
   SELECT DISTINCT item_id, least(10, len(w)) AS l, w[s:s + least(10, len(w)) - 1] AS p
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
@@ -53,7 +53,7 @@ m AS MATERIALIZED (SELECT rid, s, l, item_id FROM dw JOIN iw USING (l, p)),
 hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(s, s + l)) AS pos FROM m) GROUP BY rid),
 ids AS (
   SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined
-  FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+  FROM (SELECT DISTINCT rid, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
@@ -62,7 +62,8 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
 OP6 = f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '') || '|'
+      || coalesce(md5(source), '') || '|' || (row_number() OVER (PARTITION BY doc_id, text, source) - 1)), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM s),

@@ -5,11 +5,11 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 from test_grams import brute_grams
-from test_sharding_mixing import brute_taken, brute_targets
+from test_sharding_mixing import brute_hashes, brute_taken, brute_targets
 from test_simhash import brute_components, brute_fingerprint
 from test_text_rules import brute_hits, brute_rules
 
-from palisade.llm import mixing, quality_rules, queries
+from palisade.llm import quality_rules, queries
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
@@ -47,9 +47,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     rows = brute_quality(spark, docs, read("labels"))
     rows = brute_dedup(rows)
     rows = [r for r in rows if not brute_hits(r[1], items)[1]]
-    frame = spark.createDataFrame(rows, docs.schema)
-    hashes = {r["doc_id"]: r["h"] for r in frame.select("doc_id", mixing.hash_of(F.col("doc_id")).alias("h")).collect()}
-    sized = [(r[3], hashes[r[0]], len((r[1] or "").encode().split())) for r in rows]
+    sized = [(r[3], h, len((r[1] or "").encode().split()))
+             for r, h in zip(rows, brute_hashes(rows), strict=True)]
     sizes = Counter()
     for s, _, n in sized:
         sizes[s] += n

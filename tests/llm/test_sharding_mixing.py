@@ -1,6 +1,8 @@
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import mixing, sharding
@@ -79,23 +81,44 @@ def brute_taken(rows, target):
     return [(limit[s][0] + (h <= limit[s][1])) * size if s in limit else 0 for s, h, size in rows]
 
 
-def test_mix_against_sorting(docs):
+def brute_hashes(rows):
+    """The hash of each row (doc_id, text, lang, source, ...), with the number of the copy."""
+    digest = lambda x: "" if x is None else hashlib.md5(x.encode()).hexdigest()
+    seen, out = Counter(), []
+    for i, text, _, source, *_ in rows:
+        named = f"{'' if i is None else i}|{digest(text)}|{digest(source)}|{seen[i, text, source]}"
+        seen[i, text, source] += 1
+        out.append(int(hashlib.md5(named.encode()).hexdigest()[:15], 16))
+    return out
+
+
+def test_mix_against_sorting(docs, rows):
     got = mixing.mix(docs).collect()
-    hashes = {(r["doc_id"]): r["h"] for r in docs.select("doc_id", mixing.hash_of(F.col("doc_id")).alias("h")).collect()}
-    source = {}
-    for r in docs.collect():
-        source[r["doc_id"], len((r["text"] or "").encode().split())] = r["source"]
-    rows = [(source[r["doc_id"], r["size"]], hashes[r["doc_id"]], r["size"]) for r in got]
+    sized = [(r[3], h, len((r[1] or "").encode().split()))
+             for r, h in zip(rows, brute_hashes(rows), strict=True)]
     sizes = Counter()
-    for s, _, size in rows:
+    for s, _, size in sized:
         sizes[s] += size
-    want = brute_targets(sizes)
-    for r, (s, _, _) in zip(got, rows, strict=True):
-        assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * max(1, want[s])
-    assert [r["taken"] for r in got] == brute_taken(rows, {s: r["target"] for r, (s, _, _) in zip(got, rows, strict=True)})
+    target = brute_targets(sizes)
+    taken = brute_taken(sized, target)
+    want = Counter((r[0], n, sizes[s], round(target[s], 6), t) for r, (s, _, n), t in zip(rows, sized, taken, strict=True))
+    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got) == want
     assert all(r["taken"] <= 3 * r["size"] for r in got)
 
 
+@pytest.mark.parametrize("rows_of", ["null ids", "one id", "one row"])
+def test_rows_that_share_an_id_come_near_the_target(spark, rows_of):
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(None if rows_of == "null ids" else 7).alias("doc_id"),
+        F.concat(F.lit("two "), F.lit("same") if rows_of == "one row" else F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source")).repartition(6)
+    got = mixing.mix(docs)
+    sums = got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(sums) == 2 and all(abs(r["taken"] - r["target"]) <= 2 for r in sums)
+    mixed = {r["source"]: r["n"] * 2 for r in mixing.mixed_documents(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert sorted(mixed.values()) == sorted(r["taken"] for r in sums)
+
+
 def test_mixed_documents_repeat_rows(docs):
     taken = Counter()
     for r in mixing.mix(docs).collect():

@@ -20,14 +20,14 @@ def brute_hits(text, items, length=10):
     hit, found = set(), set()
     for item_id, item in items:
         own = WORD4.findall(lower_ascii(item or ""))
-        if not own or item_id is None:
+        if not own:
             continue
         size = min(length, len(own))
         phrases = {tuple(own[i:i + size]) for i in range(len(own) - size + 1)}
         for i in range(len(words) - size + 1):
             if tuple(words[i:i + size]) in phrases:
                 hit.update(range(i, i + size))
-                found.add(str(item_id))
+                found |= {str(item_id)} - {"None"}
     return len(words), len(hit), sorted(found)
 
 
