@@ -142,6 +142,30 @@ def test_evidence(spark, case):
     assert s.source == "log" and s.evidence_events == evidence.count()
 
 
+def test_long_titles_do_not_travel(spark):
+    """A title with the names of all accounts is put on lines that are in order already."""
+    rows = [event(i, "user_created", i, user=f"account{i}") for i in range(60)]
+    rows += [event(100 + i, "auth_success", i, raw=f"raw {i % 3}") for i in range(5)]
+    found = detect(events_frame(spark, rows))
+    lines = report.evidence_lines(stored(found.findings), found.evidence)
+    got = lines.collect()
+    long = next(r.title for r in found.findings.collect() if r.rule_id == "priv_esc")
+    assert len(long) > report.TITLE_CHARS and "account59" in long
+    assert [r.raw for r in got if r.title == long] == [f"raw {i}" for i in range(60)]
+    assert len(got) == 60
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Join LeftOuter") < plan.find("Sort [")
+
+
+def test_evidence_needs_no_peaks(spark):
+    """The evidence of a detector is not computed by way of all facts of its findings."""
+    rows = [event(i, sec=i, user=f"u{i % 7}", message="Invalid user x") for i in range(40)]
+    rows += [event(100 + i, "sudo", i, message="authentication failure") for i in range(9)]
+    evidence = detect(events_frame(spark, rows)).evidence
+    assert evidence.groupBy().agg(F.count_distinct("finding_id"), F.count(F.lit(1))).first() == (4, 129)
+    assert "Window" not in evidence._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
 def test_write(spark, case, tmp_path, fmt):
     findings, evidence = case
