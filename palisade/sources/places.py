@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from palisade.plans.storage import stored
+
 FEW_SPLITS = 100_000
 QUOTE = '"'
 
@@ -70,10 +72,11 @@ def placed_lines(spark: SparkSession, paths, sep: str = "\n") -> DataFrame:
     totals = lines.mapInArrow(total, "source string, block long, bytes long, marks long, if_even long, if_odd long")
     before = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row per split
     zero = F.lit(0).cast("bigint")
-    starts = totals.withColumn("quotes_at", F.coalesce(F.sum("marks").over(before), zero)).withColumn(
+    # stored, as the count and the second pass read it: the totals are a pass over all text
+    starts = stored(totals.withColumn("quotes_at", F.coalesce(F.sum("marks").over(before), zero)).withColumn(
         "begun", F.when(F.col("quotes_at") % 2 == 0, F.col("if_even")).otherwise(F.col("if_odd"))).select(
         "source", "block", "quotes_at", F.coalesce(F.sum("bytes").over(before), zero).alias("bytes_at"),
-        F.coalesce(F.sum("begun").over(before), zero).alias("records_at"))
+        F.coalesce(F.sum("begun").over(before), zero).alias("records_at")))
     if starts.limit(FEW_SPLITS + 1).count() <= FEW_SPLITS:
         starts = F.broadcast(starts)  # counted
 

@@ -37,6 +37,14 @@ def test_offsets(spark, tmp_path, split):
         assert all(data[o:o + len(v.encode())] == v.encode() for o, v in own)
 
 
+def test_totals_are_taken_once(spark, tmp_path):
+    """The sums of the splits are stored, so reading the lines goes over the text once more, not twice."""
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(50)))
+    got = placed_lines(spark, str(tmp_path / "a.log"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("] text") == 1
+    assert [r["offset"] for r in got.filter("value in ('line 0', 'line 1', 'line 10')").orderBy("offset").collect()] == [0, 7, 70]
+
+
 def test_ids_do_not_depend_on_splits_or_other_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(200)) + "one\rtwo\r\n\nlast")
     read = lambda: sorted((r["event_id"], r["value"]) for r in read_lines(spark, str(tmp_path / "*.log")).collect())
