@@ -9,8 +9,8 @@ kept if no base rule fails and the score reaches a fixed threshold, set from lab
 numbers, so a score doesn't depend on the order of the sum, and every document is
 judged by the same comparison, without any draw.
 
-The counts are partial sums by word and by bucket; at most `buckets` weights reach the
-driver.  Judging is row by row, with array functions: nothing is shuffled.  Windows of a text
+The counts are partial sums by word and by bucket; at most `buckets` weights and one word for
+each place of the table of frequent words reach the driver.  Judging is row by row, with array functions: nothing is shuffled.  Windows of a text
 are told apart by 64-bit hashes, built by doubling (1, 2, 4, 8 words).
 
 Edge cases: a null text is an empty one: no words, base rule failed.  Without trusted
@@ -19,7 +19,10 @@ documents all weights are 0.  Repeated rows are judged alike; other columns are
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,17 @@ SCALE = 1 << 20
 # is above -0.2, and 333 of the 335 others are below -0.3
 GRAM_THRESHOLD = -0.3
 SHORT = 64  # letters up to which a word's n-grams are cut out one by one
+# places for words whose weight is worked out beforehand, and how often such a word occurs at least:
+# they decide on time only, any other word is cut into its n-grams where it stands
+PLACES = 1 << 15
+FREQUENT = 16
+
+
+class Common(NamedTuple):
+    """Frequent words by place (their hash modulo the number of places): hash, sum of the weights of their runs."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
 
 
 def _bucket(word: Column, buckets: int, n: int) -> Column:
@@ -62,9 +76,9 @@ def ngram_weights(
     return _log_ratio(counts, buckets, alpha)
 
 
-def _log_ratio(counts: DataFrame, buckets: int, alpha: float) -> np.ndarray:
+def _log_ratio(counts: DataFrame | pd.DataFrame, buckets: int, alpha: float) -> np.ndarray:
     """Weights from bucket, raw, target; at most `buckets` rows."""
-    counts = counts.toPandas()
+    counts = counts.toPandas() if isinstance(counts, DataFrame) else counts
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     if not target.sum():
@@ -85,42 +99,102 @@ def _spelled(word: Column) -> Column:
             .otherwise(F.slice(three, 1, n - 2)))
 
 
-def _pair_buckets(w: Column, buckets: int) -> Column:
-    """The buckets of all pairs of neighbours in an array of words; a word that is its
+def _pair_hashes(w: Column) -> Column:
+    """The hashes of all pairs of neighbours in an array of words; a word that is its
     own neighbour counts as the same pair whatever the word, so runs of words are seen."""
     last = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.zip_with(F.slice(w, 1, last), F.slice(w, 2, last),
-                      lambda a, b: F.pmod(
-                          F.when(a == b, F.xxhash64(F.lit(""), F.lit(""))).otherwise(F.xxhash64(a, b)),
-                          F.lit(buckets)).cast("int"))
+    return F.zip_with(F.slice(w, 1, last), F.slice(w, 2, last), lambda a, b: F.when(
+        a == b, F.xxhash64(F.lit(""), F.lit(""))).otherwise(F.xxhash64(a, b)))
 
 
-def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, alpha: float = 1.0) -> np.ndarray:
-    """The fixed-point log ratio of every bucket, from all n-grams of docs and from those of
-    the trusted documents (doc_id).  Runs of characters are cut once for each distinct word."""
+def _cut_buckets(word: Column, buckets: int) -> Column:
+    return F.transform(_spelled(word), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
+
+
+def _gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """word, raw, target, and bucket, raw, target of the pairs."""
     marked = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
     ).select("good", words(F.col("text")).alias("w"))
     counted = [F.count("*").alias("raw"), F.count("good").alias("target")]
-    spelled = (marked.select("good", F.explode("w").alias("word")).groupBy("word").agg(*counted)
-               .select("raw", "target", F.explode(_spelled(F.col("word"))).alias("gram"))
+    return (marked.select("good", F.explode("w").alias("word")).groupBy("word").agg(*counted),
+            marked.select("good", F.explode(_pair_hashes(F.col("w"))).alias("h"))
+            .groupBy(F.pmod(F.col("h"), F.lit(buckets)).cast("int").alias("bucket")).agg(*counted)
+            .select("bucket", "raw", "target"))
+
+
+def _bucket_counts(word: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+    spelled = (word.select("raw", "target", F.explode(_spelled(F.col("word"))).alias("gram"))
                .select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("bucket"), "raw", "target"))
-    pairs = (marked.select("good", F.explode(_pair_buckets(F.col("w"), buckets)).alias("bucket"))
-             .groupBy("bucket").agg(*counted).select("bucket", "raw", "target"))
-    return _log_ratio(spelled.unionAll(pairs).groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("target").alias("target")), buckets, alpha)
+    return spelled.unionAll(pairs).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def _gram_total(text: Column, w: Column, table: Column, buckets: int) -> tuple[Column, Column]:
-    """Sum of the weights of all n-grams of the words of a text, and their number.  One pattern cuts
-    the runs of characters out of a line: no function call for each of them."""
+def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, alpha: float = 1.0) -> np.ndarray:
+    """The fixed-point log ratio of every bucket, from all n-grams of docs and from those of
+    the trusted documents (doc_id).  Runs of characters are cut once for each distinct word."""
+    return _log_ratio(_bucket_counts(*_gram_counts(docs, trusted, buckets), buckets), buckets, alpha)
+
+
+def gram_tables(
+    docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, alpha: float = 1.0,
+    places: int = PLACES, frequent: int = FREQUENT,
+) -> tuple[np.ndarray, Common]:
+    """gram_weights and, from the same counts, the most frequent word of each place."""
+    word, pairs = _gram_counts(docs, trusted, buckets)
+    h = F.xxhash64("word")
+    # target is carried along, and the length asked only behind the count, so that both uses of the
+    # counts are one shuffle
+    best = (word.where(F.when(F.col("raw") >= frequent, F.length("word")) <= SHORT)
+            .groupBy(F.pmod(h, F.lit(places)).alias("place"))
+            .agg(F.max(F.struct("raw", "target", h.alias("h"), "word")).alias("best")))
+    rows = _bucket_counts(word, pairs, buckets).select(
+        "bucket", "raw", "target", F.lit(0).cast("long").alias("h"), F.array().cast("array<int>").alias("cut")
+    ).unionAll(best.select(F.lit(-1), F.lit(0).cast("long"), F.lit(0).cast("long"), "best.h",
+                           _cut_buckets(F.col("best.word"), buckets))).toPandas()
+    found = rows[rows["bucket"] < 0]
+    weights = _log_ratio(rows[rows["bucket"] >= 0], buckets, alpha)
+    # no word has a zero as its hash at place 1, nor a one at place 0: these stand for an empty place
+    common = Common(np.zeros(places, np.int64), np.zeros(places, np.int64))
+    common.hashes[0] = 1
+    if len(found):
+        at = found["h"].to_numpy(np.int64) % places
+        cut = found["cut"].tolist()
+        starts = np.cumsum([0, *map(len, cut[:-1])])
+        common.hashes[at] = found["h"]
+        common.weights[at] = np.add.reduceat(weights[np.concatenate(cut).astype(np.int64)], starts)
+    return weights, common
+
+
+def _numbers(values: np.ndarray) -> Column:
+    """Folded to one constant."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+
+
+def _gram_total(
+    w: Column, hashes: Column, pairs: Column, table: Column, buckets: int, common: Common | None,
+) -> tuple[Column, Column]:
+    """Sum of the weights of all n-grams of a text, from its words, their hashes and those of the pairs, and their number.
+    A word that is not in `common` is cut by one pattern: no function call for each of its runs."""
     zero = F.lit(0).cast("long")
-    spelled = F.aggregate(F.split(text, "\n"), zero, lambda acc, line: acc + F.aggregate(
-        F.regexp_extract_all(line, F.lit(GRAM), 1), zero,
-        lambda own, g: own + F.get(table, F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))))
-    pairs = F.aggregate(_pair_buckets(w, buckets), zero, lambda acc, b: acc + F.get(table, b))
+
+    def cut(x):
+        return F.aggregate(F.regexp_extract_all(x, F.lit(GRAM), 1), zero, lambda own, g: own + F.get(
+            table, F.pmod(F.xxhash64(g), F.lit(buckets))))
+
+    if common is None:
+        spelled = F.aggregate(w, zero, lambda acc, x: acc + cut(x))
+    else:
+        known, weight = _numbers(common.hashes), _numbers(common.weights)
+
+        def place(h):
+            return F.pmod(h, F.lit(len(common.hashes)))
+
+        spelled = F.aggregate(F.zip_with(
+            w, hashes, lambda x, h: F.when(F.get(known, place(h)) == h, F.get(weight, place(h))).otherwise(cut(x))),
+            zero, lambda acc, x: acc + x)
+    paired = F.aggregate(pairs, zero, lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets))))
     number = F.aggregate(w, zero, lambda acc, x: acc + F.greatest(F.length(x) - 2, F.lit(1)))
-    return spelled + pairs, number + F.greatest(F.size(w) - 1, F.lit(0))
+    return spelled + paired, number + F.greatest(F.size(w) - 1, F.lit(0))
 
 
 def _doubled(hashes: Column, step: int) -> Column:
@@ -131,37 +205,44 @@ def _doubled(hashes: Column, step: int) -> Column:
 def judged(
     docs: DataFrame, weights: np.ndarray, n: int = 3, threshold: float = -1.0,
     least_words: int = 20, most_repeated_pct: int = 30, every_gram: bool = False, score_failed: bool = True,
+    common: Common | None = None,
 ) -> DataFrame:
     """docs and the column `rules`, a struct of n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, llr (per word, or n-gram) and kept.  every_gram: the
-    weights are those of gram_weights.  score_failed=False gives no llr to documents that a base
-    rule fails: it couldn't keep them."""
+    weights are those of gram_weights; `common`, from gram_tables, only saves time.
+    score_failed=False gives no llr to documents that a base rule fails: it couldn't keep them."""
     names = docs.columns
     text = F.coalesce(F.col("row.text"), F.lit(""))
     # folded to one constant of at most `buckets` numbers
-    table = F.split(F.lit(",".join(map(str, weights.tolist()))), ",").cast("array<bigint>")
+    table = _numbers(weights)
     # each step is a struct column beside the row, so no name of docs can clash
     step = docs.select(F.struct(*(docs[c] for c in names)).alias("row"))
     step = step.select("row", words(text).alias("w"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
     if every_gram:
-        total, n_grams = _gram_total(text, F.col("w"), table, len(weights))
+        total, n_grams = _gram_total(F.col("w"), F.col("own"), F.col("next"), table, len(weights), common)
     else:
         n_grams = F.size("w").cast("long")
         total = F.aggregate(
             "w", F.lit(0).cast("long"),
             lambda acc, w: acc + F.get(table, _bucket(w, len(weights), n)))
-    h2 = _doubled(F.transform("w", lambda w: F.xxhash64(w)), 1)
     step = step.select(
-        "row", "w", F.size("w").cast("long").alias("n_words"), h2.alias("h"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        "row", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("own"), _pair_hashes(F.col("w")).alias("next"),
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
-    kept = ["row", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    kept = ["row", "w", "own", "next", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+
+    def seen(hashes, n):
+        """Whether a window can repeat: in its second place every run of n words is one seen before."""
+        return F.size(hashes) - F.size(F.array_distinct(hashes)) > F.lit(WINDOW - n)
+
+    step = step.select(*kept, F.when(seen("next", 2), _doubled(F.col("own"), 1)).alias("h"))
     step = step.select(*kept, _doubled(F.col("h"), 2).alias("h"))
-    step = step.select(*kept, F.slice(
-        _doubled(F.col("h"), 4), 1, F.greatest(F.lit(0), F.col("n_words").cast("int") - WINDOW + 1)).alias("h"))
+    step = step.select(*kept, F.when(seen("h", 4), F.slice(
+        _doubled(F.col("h"), 4), 1, F.greatest(F.lit(0), F.col("n_words").cast("int") - WINDOW + 1))).alias("h"))
     # (hash, start) in order of the hash, only where some hash repeats
     repeats = F.size(F.array_distinct("h")) < F.size("h")
     pairs = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
@@ -181,7 +262,7 @@ def judged(
     failed = failed & (F.monotonically_increasing_id() >= 0)
     step = step.select(*kept, "n_repeat_words", failed.alias("failed"))
     asked = F.lit(True) if score_failed else ~F.col("failed")
-    step = step.select(*kept[2:], "row", "n_repeat_words", "failed", F.when(asked, total).alias("total"),
+    step = step.select(*kept[4:], "row", "n_repeat_words", "failed", F.when(asked, total).alias("total"),
                        F.when(asked, n_grams).alias("n_grams"))
     enough = F.coalesce(F.col("total") >= F.col("n_grams") * int(round(threshold * SCALE)), F.lit(False))
     return step.select(
@@ -195,8 +276,8 @@ def judged(
 
 def judged_by_grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs and the column `rules`, scored over all n-grams of the texts."""
-    return judged(docs, gram_weights(docs, trusted_ids(labels)), threshold=GRAM_THRESHOLD, every_gram=True,
-                  score_failed=False)
+    weights, common = gram_tables(docs, trusted_ids(labels))
+    return judged(docs, weights, threshold=GRAM_THRESHOLD, every_gram=True, score_failed=False, common=common)
 
 
 def quality_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
