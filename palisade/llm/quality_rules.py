@@ -10,8 +10,10 @@ numbers, so a score doesn't depend on the order of the sum, and every document i
 judged by the same comparison, without any draw.
 
 The counts are partial sums by word and by bucket; at most `buckets` weights and one word for
-each place of the table of frequent words reach the driver.  Judging is row by row, with array functions: nothing is shuffled.  Windows of a text
-are told apart by 64-bit hashes, built by doubling (1, 2, 4, 8 words).
+each place of the table of frequent words reach the driver.  The base rules are judged row by row, with array functions.
+The n-grams of `every_gram` are summed up in exploded rows, where a lambda would cost several times as much a word, and
+joined to the rows by a hash of id and text: a shuffle of one row a document, with its columns as far as they are asked for.
+Windows of a text are told apart by 64-bit hashes, built by doubling (1, 2, 4, 8 words).
 
 Edge cases: a null text is an empty one: no words, base rule failed.  Without trusted
 documents all weights are 0.  Repeated rows are judged alike; other columns are kept.
@@ -26,18 +28,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import SPACE, words
+from palisade.llm.common import SPACE, doc_key
 
 SYMBOL = r"[#*$%&|<>]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-# at every character of a word: the run of three that begins there, or the whole of a shorter word
-GRAM = rf"(?=({NOT_SPACE}{{3}}|(?<!{NOT_SPACE}){NOT_SPACE}{{1,2}}(?!{NOT_SPACE}))){NOT_SPACE}"
 WINDOW = 8
 SCALE = 1 << 20
 # fixed value, from the labelled rows of sf0.001 to sf0.1 that pass the base rules: every good document
 # is above -0.2, and 333 of the 335 others are below -0.3
 GRAM_THRESHOLD = -0.3
 SHORT = 64  # letters up to which a word's n-grams are cut out one by one
+# pieces of a longer word: sixty of its runs in each
+PIECE = rf"(?=({NOT_SPACE}{{3,62}})){NOT_SPACE}{{1,60}}"
 # places for words whose weight is worked out beforehand, and how often such a word occurs at least:
 # they decide on time only, any other word is cut into its n-grams where it stands
 PLACES = 1 << 15
@@ -99,12 +101,25 @@ def _spelled(word: Column) -> Column:
             .otherwise(F.slice(three, 1, n - 2)))
 
 
-def _pair_hashes(w: Column) -> Column:
-    """The hashes of all pairs of neighbours in an array of words; a word that is its
-    own neighbour counts as the same pair whatever the word, so runs of words are seen."""
-    last = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.zip_with(F.slice(w, 1, last), F.slice(w, 2, last), lambda a, b: F.when(
-        a == b, F.xxhash64(F.lit(""), F.lit(""))).otherwise(F.xxhash64(a, b)))
+def _words(text: Column) -> Column:
+    """`words`, with a split at one plain character, which needs no pattern."""
+    return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " "), " "), "")
+
+
+def _each(w: str) -> Column:
+    """The words of a column to explode; a bare column would be split once more for a filter on its size."""
+    return F.when(F.size(w) > 0, F.col(w))
+
+
+def _first(value: Column) -> Column:
+    """The value, worked out before what is exploded beside it: a plain expression would be put off
+    until each of the exploded rows, a row number can't be."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def _pair_bucket(a: Column, b: Column, buckets: int) -> Column:
+    """A word that is its own neighbour counts as the same pair whatever the word, so runs of words are seen."""
+    return F.pmod(F.when(a == b, F.xxhash64(F.lit(""), F.lit(""))).otherwise(F.xxhash64(a, b)), F.lit(buckets)).cast("int")
 
 
 def _cut_buckets(word: Column, buckets: int) -> Column:
@@ -115,11 +130,12 @@ def _gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> tuple[Dat
     """word, raw, target, and bucket, raw, target of the pairs."""
     marked = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left"
-    ).select("good", words(F.col("text")).alias("w"))
+    ).select("good", _words(F.col("text")).alias("w"))
     counted = [F.count("*").alias("raw"), F.count("good").alias("target")]
-    return (marked.select("good", F.explode("w").alias("word")).groupBy("word").agg(*counted),
-            marked.select("good", F.explode(_pair_hashes(F.col("w"))).alias("h"))
-            .groupBy(F.pmod(F.col("h"), F.lit(buckets)).cast("int").alias("bucket")).agg(*counted)
+    return (marked.select("good", F.explode(_each("w")).alias("word")).groupBy("word").agg(*counted),
+            marked.select("good", "w", F.posexplode(_each("w")).alias("i", "a"))
+            .select("good", "a", F.get("w", F.col("i") + 1).alias("b")).where("b is not null")
+            .groupBy(_pair_bucket(F.col("a"), F.col("b"), buckets).alias("bucket")).agg(*counted)
             .select("bucket", "raw", "target"))
 
 
@@ -170,31 +186,38 @@ def _numbers(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
 
-def _gram_total(
-    w: Column, hashes: Column, pairs: Column, table: Column, buckets: int, common: Common | None,
-) -> tuple[Column, Column]:
-    """Sum of the weights of all n-grams of a text, from its words, their hashes and those of the pairs, and their number.
-    A word that is not in `common` is cut by one pattern: no function call for each of its runs."""
-    zero = F.lit(0).cast("long")
-
-    def cut(x):
-        return F.aggregate(F.regexp_extract_all(x, F.lit(GRAM), 1), zero, lambda own, g: own + F.get(
-            table, F.pmod(F.xxhash64(g), F.lit(buckets))))
-
-    if common is None:
-        spelled = F.aggregate(w, zero, lambda acc, x: acc + cut(x))
-    else:
-        known, weight = _numbers(common.hashes), _numbers(common.weights)
-
-        def place(h):
-            return F.pmod(h, F.lit(len(common.hashes)))
-
-        spelled = F.aggregate(F.zip_with(
-            w, hashes, lambda x, h: F.when(F.get(known, place(h)) == h, F.get(weight, place(h))).otherwise(cut(x))),
-            zero, lambda acc, x: acc + x)
-    paired = F.aggregate(pairs, zero, lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets))))
-    number = F.aggregate(w, zero, lambda acc, x: acc + F.greatest(F.length(x) - 2, F.lit(1)))
-    return spelled + paired, number + F.greatest(F.size(w) - 1, F.lit(0))
+def _gram_totals(docs: DataFrame, weights: np.ndarray, common: Common | None) -> DataFrame:
+    """Documents by `key`: the sum of the weights of all n-grams and their number, both as often as the document
+    is repeated.  A document without words has no row.  One row a word, and one
+    more for each run of a word that isn't in `common`: plain columns, as array functions with lambdas cost several times as much a word."""
+    buckets, zero = len(weights), F.lit(0).cast("long")
+    rows = docs.select(_first(doc_key(F.col("doc_id"), F.col("text"))).alias("key"), _words(F.col("text")).alias("w"))
+    rows = rows.select("key", "w", F.posexplode(_each("w")).alias("i", "word")).select(
+        "key", "word", F.get("w", F.col("i") + 1).alias("next"), F.length("word").alias("size"),
+        F.xxhash64("word").alias("h"))
+    known = F.lit(None).cast("long")
+    if common is not None:
+        place = F.pmod("h", F.lit(len(common.hashes)))
+        known = F.when(F.get(_numbers(common.hashes), place) == F.col("h"), F.get(_numbers(common.weights), place))
+    rows = rows.select(
+        "key", "word", "size", known.alias("known"),
+        _first(F.when(F.col("next").isNotNull(), _pair_bucket(F.col("word"), F.col("next"), buckets))).alias("pair"),
+        _first(F.greatest(F.col("size") - 2, F.lit(1)) + F.col("next").isNotNull().cast("int")).alias("number"))
+    # a long word in pieces, so that cutting out its runs stays linear in its length
+    rows = rows.select("key", "known", "pair", "number", F.posexplode(
+        F.when((F.col("size") <= SHORT) | F.col("known").isNotNull(), F.array("word"))
+        .otherwise(F.regexp_extract_all("word", F.lit(PIECE), 1))).alias("j", "piece"))
+    # run 0 of the first piece stands for the word itself: its pair, and all of its runs if they are known
+    rows = rows.select("key", "known", "pair", "number", "piece", F.explode(F.sequence(
+        F.when(F.col("j") == 0, 0).otherwise(1),
+        F.when(F.col("known").isNotNull(), 0).otherwise(F.greatest(F.length("piece") - 2, F.lit(1))))).alias("run"))
+    once = F.col("run") == 0
+    # the table stands here once: each mention would send a copy of it to every task
+    bucket = F.when(once, F.col("pair")).otherwise(F.pmod(F.xxhash64(F.substring("piece", F.col("run"), F.lit(3))), F.lit(buckets)))
+    return rows.groupBy("key").agg(
+        F.sum(F.coalesce(F.get(_numbers(weights), bucket), zero)
+              + F.when(once, F.coalesce("known", zero)).otherwise(zero)).alias("total"),
+        F.sum(F.when(once, F.col("number")).otherwise(0)).alias("n_grams"))
 
 
 def _doubled(hashes: Column, step: int) -> Column:
@@ -213,43 +236,40 @@ def judged(
     score_failed=False gives no llr to documents that a base rule fails: it couldn't keep them."""
     names = docs.columns
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    # folded to one constant of at most `buckets` numbers
-    table = _numbers(weights)
     # each step is a struct column beside the row, so no name of docs can clash
     step = docs.select(F.struct(*(docs[c] for c in names)).alias("row"))
-    step = step.select("row", words(text).alias("w"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
+    step = step.select("row", _words(text).alias("w"), lines.alias("l"))
     if every_gram:
-        total, n_grams = _gram_total(F.col("w"), F.col("own"), F.col("next"), table, len(weights), common)
+        own = [doc_key(F.col("row.doc_id"), F.col("row.text")).alias("key")]
     else:
-        n_grams = F.size("w").cast("long")
-        total = F.aggregate(
-            "w", F.lit(0).cast("long"),
-            lambda acc, w: acc + F.get(table, _bucket(w, len(weights), n)))
+        # folded to one constant of at most `buckets` numbers
+        table = _numbers(weights)
+        own = [F.aggregate("w", F.lit(0).cast("long"), lambda acc, w: acc + F.get(table, _bucket(w, len(weights), n))).alias("total"),
+               F.size("w").cast("long").alias("n_grams")]
     step = step.select(
-        "row", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("own"), _pair_hashes(F.col("w")).alias("next"),
-        F.size("w").cast("long").alias("n_words"),
+        "row", *own, F.transform("w", lambda w: F.xxhash64(w)).alias("h"), F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
     )
-    kept = ["row", "w", "own", "next", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    kept = [c for c in step.columns if c != "h"]
 
     def seen(hashes, n):
         """Whether a window can repeat: in its second place every run of n words is one seen before."""
         return F.size(hashes) - F.size(F.array_distinct(hashes)) > F.lit(WINDOW - n)
 
-    step = step.select(*kept, F.when(seen("next", 2), _doubled(F.col("own"), 1)).alias("h"))
-    step = step.select(*kept, _doubled(F.col("h"), 2).alias("h"))
+    for n_done in (1, 2):
+        step = step.select(*kept, _doubled(F.col("h"), n_done).alias("h"))
     step = step.select(*kept, F.when(seen("h", 4), F.slice(
         _doubled(F.col("h"), 4), 1, F.greatest(F.lit(0), F.col("n_words").cast("int") - WINDOW + 1))).alias("h"))
     # (hash, start) in order of the hash, only where some hash repeats
     repeats = F.size(F.array_distinct("h")) < F.size("h")
     pairs = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    step = step.select(*kept, F.when(repeats, F.array_sort(pairs)).alias("s"))
+    step = step.select(*kept, F.when(repeats, F.sort_array(pairs)).alias("s"))
     again = F.transform("s", lambda x, k: F.when(
         (F.get("s", k - 1)["h"] == x["h"]) | (F.get("s", k + 1)["h"] == x["h"]), x["i"]))
-    step = step.select(*kept, F.array_sort(F.array_compact(again)).alias("p"))
+    step = step.select(*kept, F.sort_array(F.array_compact(again)).alias("p"))
     covered = F.aggregate(
         F.transform("p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(
             F.get("p", k + 1) - x, F.lit(WINDOW)))),
@@ -261,9 +281,12 @@ def judged(
     # the steps would work out each of them many times over
     failed = failed & (F.monotonically_increasing_id() >= 0)
     step = step.select(*kept, "n_repeat_words", failed.alias("failed"))
-    asked = F.lit(True) if score_failed else ~F.col("failed")
-    step = step.select(*kept[4:], "row", "n_repeat_words", "failed", F.when(asked, total).alias("total"),
-                       F.when(asked, n_grams).alias("n_grams"))
+    if every_gram:
+        totals = _gram_totals(docs, weights, common).withColumnRenamed("key", "key of totals")
+        step = step.join(totals, F.col("key") == F.col("key of totals"), "left")
+        step = step.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("total", "n_grams")})
+    if not score_failed:
+        step = step.withColumns({c: F.when(~F.col("failed"), F.col(c)) for c in ("total", "n_grams")})
     enough = F.coalesce(F.col("total") >= F.col("n_grams") * int(round(threshold * SCALE)), F.lit(False))
     return step.select(
         *(F.col("row")[c].alias(c) for c in names),

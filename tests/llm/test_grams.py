@@ -3,6 +3,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,39 @@ def test_frequent_words_only_save_time(spark, docs, places):
     assert plain.exceptAll(quick).count() == 0
 
 
+def test_words_are_weighed_without_lambdas(spark, docs):
+    """No array function with a lambda, no second copy of the table and no second split of the texts on the way to a score."""
+    plan = quality_rules.judged(docs, np.arange(8) + 1000001, every_gram=True)._jdf.queryExecution().optimizedPlan().toString()
+    found = [x for x in plan.splitlines() if "[1000001,1000002" in x]
+    assert plan.count("[1000001,1000002") == 1 and "lambda" not in found[0]
+    counts = quality_rules._gram_counts(docs, docs.select("doc_id").limit(3), 512)
+    plans = [plan, *(c._jdf.queryExecution().optimizedPlan().toString() for c in counts)]
+    assert not [x for p in plans for x in p.splitlines() if "Filter" in x and "split(" in x]
+
+
+def test_long_words_lose_no_run(spark):
+    """Words around the limits of the pieces, repeated rows and ids, and a word known beforehand among others."""
+    letters = "".join(chr(97 + i * i % 23) + chr(945 + i * 7 % 19) for i in range(100))
+    texts = [" ".join([letters[:n], "ab", letters[:n], "c"]) for n in (1, 2, 3, 4, 59, 60, 61, 62, 63, 64, 65, 66, 120, 121, 122, 123, 124, 125, 182)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (4, texts[5]), (None, texts[6]), (None, texts[6]), (None, None), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = np.random.default_rng(5).integers(-9 * quality_rules.SCALE, 9 * quality_rules.SCALE, 64)
+    every = sorted({g for _, t in rows for g in brute_grams(t)}, key=str)
+    single = spark.createDataFrame([(g,) for g in every if isinstance(g, str)], "g string").select(
+        "g", F.pmod(F.xxhash64("g"), F.lit(64)).alias("b"), F.xxhash64("g").alias("h")).collect()
+    double = spark.createDataFrame([g for g in every if isinstance(g, tuple)], "x string, y string").select(
+        "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(64)).alias("b")).collect()
+    bucket = {r["g"]: r["b"] for r in single} | {(r["x"], r["y"]): r["b"] for r in double}
+    hashes = {r["g"]: r["h"] for r in single}
+    known = quality_rules.Common(np.array([hashes["ab"]]), np.array([weights[bucket["ab"]]]))
+    for common in (None, known):
+        got = quality_rules.judged(docs, weights, every_gram=True, common=common).select("doc_id", "text", "rules of row.llr").collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(rows, key=str)
+        for r in got:
+            own = [int(weights[bucket[g]]) for g in brute_grams(r["text"])]
+            assert abs(sum(own) / quality_rules.SCALE / max(1, len(own)) - r["llr"]) < 1e-9
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 def test_junk_is_seen_wherever_it_stands(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
