@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,21 +187,29 @@ def _numbers(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
 
+def _known_words(docs: DataFrame, common: Common) -> DataFrame:
+    """hash of word, known (the sum of its weights): a local table, as constants of this length would stand in every
+    description of a plan that the driver makes and keeps."""
+    at = common.hashes % len(common.hashes) == np.arange(len(common.hashes))  # empty places aren't
+    return docs.sparkSession.createDataFrame(pa.table({
+        "hash of word": pa.array(common.hashes[at], pa.int64()), "known": pa.array(common.weights[at], pa.int64())}))
+
+
 def _gram_totals(docs: DataFrame, weights: np.ndarray, common: Common | None) -> DataFrame:
     """Documents by `key`: the sum of the weights of all n-grams and their number, both as often as the document
     is repeated.  A document without words has no row.  One row a word, and one
     more for each run of a word that isn't in `common`: plain columns, as array functions with lambdas cost several times as much a word."""
-    buckets, zero = len(weights), F.lit(0).cast("long")
+    buckets = len(weights)
     rows = docs.select(_first(doc_key(F.col("doc_id"), F.col("text"))).alias("key"), _words(F.col("text")).alias("w"))
     rows = rows.select("key", "w", F.posexplode(_each("w")).alias("i", "word")).select(
         "key", "word", F.get("w", F.col("i") + 1).alias("next"), F.length("word").alias("size"),
         F.xxhash64("word").alias("h"))
-    known = F.lit(None).cast("long")
-    if common is not None:
-        place = F.pmod("h", F.lit(len(common.hashes)))
-        known = F.when(F.get(_numbers(common.hashes), place) == F.col("h"), F.get(_numbers(common.weights), place))
+    if common is None:
+        rows = rows.withColumn("known", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(F.broadcast(_known_words(docs, common)), F.col("h") == F.col("hash of word"), "left")
     rows = rows.select(
-        "key", "word", "size", known.alias("known"),
+        "key", "word", "size", "known",
         _first(F.when(F.col("next").isNotNull(), _pair_bucket(F.col("word"), F.col("next"), buckets))).alias("pair"),
         _first(F.greatest(F.col("size") - 2, F.lit(1)) + F.col("next").isNotNull().cast("int")).alias("number"))
     # a long word in pieces, so that cutting out its runs stays linear in its length
@@ -212,12 +221,16 @@ def _gram_totals(docs: DataFrame, weights: np.ndarray, common: Common | None) ->
         F.when(F.col("j") == 0, 0).otherwise(1),
         F.when(F.col("known").isNotNull(), 0).otherwise(F.greatest(F.length("piece") - 2, F.lit(1))))).alias("run"))
     once = F.col("run") == 0
-    # the table stands here once: each mention would send a copy of it to every task
     bucket = F.when(once, F.col("pair")).otherwise(F.pmod(F.xxhash64(F.substring("piece", F.col("run"), F.lit(3))), F.lit(buckets)))
+    # the table stands here once, outside of the sums: each mention would send a copy of it to every task,
+    # and the driver spells it out in every description of the plan, with sums four times as often
+    rows = rows.select(
+        "key", F.get(_numbers(weights), bucket).alias("weight"),
+        F.when(once, F.col("known")).alias("known"), F.when(once, F.col("number")).alias("number"))
+    none = F.lit(0).cast("long")
     return rows.groupBy("key").agg(
-        F.sum(F.coalesce(F.get(_numbers(weights), bucket), zero)
-              + F.when(once, F.coalesce("known", zero)).otherwise(zero)).alias("total"),
-        F.sum(F.when(once, F.col("number")).otherwise(0)).alias("n_grams"))
+        F.sum(F.coalesce("weight", none) + F.coalesce("known", none)).alias("total"),
+        F.sum(F.coalesce("number", F.lit(0))).alias("n_grams"))
 
 
 def _doubled(hashes: Column, step: int) -> Column:

@@ -62,6 +62,30 @@ def test_words_are_weighed_without_lambdas(spark, docs):
     assert not [x for p in plans for x in p.splitlines() if "Filter" in x and "split(" in x]
 
 
+def test_descriptions_of_plans_stay_short(spark, docs):
+    """The words known beforehand stand in no description that the driver makes of a plan, and the weights once, not in each sum."""
+    common = quality_rules.Common(np.arange(8) + 8000000, np.arange(8) + 5000001)
+    for known in (None, common):
+        judged = quality_rules.judged(docs, np.arange(8) + 1000001, every_gram=True, common=known)
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("1000001,1000002") == 1
+        assert "8000000,8000001" not in plan and "5000001,5000002" not in plan
+
+
+def test_empty_places_know_no_word(spark):
+    """Places without a frequent word are no rows beside a word, whatever its hash."""
+    docs = spark.createDataFrame([(1, "one two three " * 9), (2, None), (2, "one")], "doc_id long, text string")
+    h = {r["w"]: r["h"] for r in spark.createDataFrame([("one",), ("two",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    weights = np.arange(16) * quality_rules.SCALE
+    plain = quality_rules.judged(docs, weights, every_gram=True)
+    hashes, sums = np.full(64, h["two"]), np.zeros(64, np.int64)
+    hashes[h["two"] % 64], hashes[h["one"] % 64] = 0, h["one"]  # "two" only at places that aren't its own
+    sums[h["one"] % 64] = sum(int(weights[r["b"]]) for r in spark.createDataFrame([("one",)], "g string").select(
+        F.pmod(F.xxhash64("g"), F.lit(16)).alias("b")).collect())
+    quick = quality_rules.judged(docs, weights, every_gram=True, common=quality_rules.Common(hashes, sums))
+    assert quick.count() == 3 and plain.exceptAll(quick).count() == 0
+
+
 def test_long_words_lose_no_run(spark):
     """Words around the limits of the pieces, repeated rows and ids, and a word known beforehand among others."""
     letters = "".join(chr(97 + i * i % 23) + chr(945 + i * 7 % 19) for i in range(100))
