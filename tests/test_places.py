@@ -4,12 +4,14 @@ import csv
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from palisade.sources import load
+from palisade.sources import lines, load
 from palisade.sources.csvlog import parse_csv, read_csv
 from palisade.sources.lines import read_documents, read_lines
 from palisade.sources.load import load_events
 from palisade.sources.places import placed_lines
+from workload import queries
 
 
 @pytest.fixture(params=["256", "128m"])
@@ -98,3 +100,32 @@ def test_gz(spark, tmp_path):
         f.write("".join(f"Apr  9 08:00:{i:02d} h sshd[1]: Failed password for u{i} from 1.2.3.4 port 1 ssh2\n" for i in range(40)))
     events = load_events(spark, str(tmp_path / "a.log.gz"), year=2024)
     assert events.count() == 40 and events.select("event_id").distinct().count() == 40
+
+
+@pytest.mark.parametrize("broken", [None, "other ids", "more lines", "equal ids", "ids by partition"])
+def test_both_reads_count_in_files_ids(spark, tmp_path, monkeypatch, broken):
+    """The query that reads log lines under two split sizes shows where the ids of the second read differ."""
+    spark.range(12_000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 70 AS user_id",
+        "element_at(array('error', 'view', 'click', 'signup'), cast(id % 4 + 1 AS int)) AS event_type",
+        "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    reads = []
+
+    def read(*args, **options):
+        reads.append(load_events(*args, **options))
+        if len(reads) < 2 or broken in (None, "ids by partition"):
+            return reads[-1]
+        if broken == "more lines":
+            return reads[-1].unionByName(reads[-1].withColumn("event_id", F.col("event_id") * 2))
+        return reads[-1].withColumn("event_id", F.col("event_id") + 1 if broken == "other ids" else F.lit(7).cast("bigint"))
+
+    monkeypatch.setattr(queries, "load_events", read)
+    if broken == "ids by partition":
+        monkeypatch.setattr(lines, "event_id", lambda df, source, text: F.monotonically_increasing_id())
+    got = {r["message"]: r["lines"] for r in queries.files_ids(spark, str(tmp_path)).collect()}
+    want = {r["message"]: r["count"] for r in reads[0].groupBy("message").count().collect()}
+    assert len(reads) == 2 and max(want.values()) > 1 and got.keys() == want.keys()
+    if broken is None:
+        assert got == want
+    else:
+        assert sum(got[m] == n for m, n in want.items()) < len(want) / 2
